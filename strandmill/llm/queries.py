@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandmill.llm import exact_dedup, language_id, mixing, quality, secret_scan, sharding
+from strandmill.llm import exact_dedup, language_id, mixing, piece_sampling, quality, secret_scan, sharding, token_files
 from strandmill.llm.common import WORD, documents
 
 
@@ -28,18 +28,35 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def tokenizer(name: str) -> str:
+    """Place of a public tokenizer's file; the operators take any path."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_sampling.encode_sampled(documents(spark, sf_dir), tokenizer("piece_bpe_32k.model"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return language_id.identify(docs, language_id.fit(docs))
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_files(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_secret_scans": op1_secret_scans,
     "op3_sharding": op3_sharding,
     "op4_quality_rules": op4_quality_rules,
     "op6_mixing": op6_mixing,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_language_id": op9_language_id,
+    "op10_token_files": op10_token_files,
 }
 
 
