@@ -54,16 +54,29 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+_staged: list[str] = []
+
+
+def stage(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and reread it: lineage ends here,
-    a lost executor costs no recomputation, and nothing is computed twice."""
+    a lost executor costs no recomputation, and nothing is computed twice.
+    ``keep`` exempts the table from :func:`release`."""
     spark = df.sparkSession
     path = shared_path(spark, name)
+    if not keep:
+        _staged.append(path)
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete the tables staged so far, once the results built on them are written."""
+    while _staged:
+        _remove(spark, _staged.pop())
+    free_shuffles(spark)
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle files of finished, staged steps."""
     gc.collect()
@@ -121,3 +134,41 @@ def running_sum(df: DataFrame, group: list[str], order: list[str], value: str, o
     df = df.withColumn("_run", F.coalesce(F.sum(value).over(inner), F.lit(0)))
     on = [df[g].eqNullSafe(cells[f"_g{i}"]) for i, g in enumerate(group)] + [df["_cell"] == cells["_c"]]
     return df.join(cells, on).withColumn(out, F.col("_run") + F.col("_base")).drop("_cell", "_run", "_base", "_c", *[f"_g{i}" for i in range(len(group))])
+
+
+def unique_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows (doc_id, part, text) in which (doc_id, part) names one row.
+
+    ``part`` is 0 where ids are unique (checked); else rows of one id are
+    numbered by a hash of their text, in a staged table.
+    """
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(0).alias("part"), F.col(text_col).alias("text"))
+    if not rows.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        part = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+        rows = stage(rows.withColumn("part", part), "rows")
+    return rows
+
+
+def only_repeated(batches):
+    """mapInArrow body: of rows sorted by their first column, those whose key has a neighbour.
+
+    Works over a stream; one row is held back between batches.
+    """
+    held, before = None, None
+    for batch in batches:
+        if len(batch) == 0:
+            continue
+        table = pa.Table.from_batches([b for b in (held, batch) if b is not None]).combine_chunks()
+        key = table.column(0).to_numpy()
+        same = key[1:] == key[:-1]
+        keep = np.zeros(len(key), bool)
+        keep[1:] |= same
+        keep[:-1] |= same
+        if before is not None:
+            keep[0] |= key[0] == before
+        if len(key) > 1:
+            before = int(key[-2])
+        held = table.slice(len(key) - 1).combine_chunks().to_batches()[0]
+        yield from table.slice(0, len(key) - 1).filter(pa.array(keep[:-1])).to_batches()
+    if held is not None and before is not None and held.column(0)[0].as_py() == before:
+        yield held

@@ -230,3 +230,21 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
     schema = "doc_id long, held_out boolean, lang_pred string, score double, n_spans long"
     return rows.mapInArrow(_predictor(model, penalty, with_spans), schema + (", spans array<struct<start: long, end: long, lang: string>>" if with_spans else ""))
+
+
+def keep_identified(df: DataFrame, model: Model, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", penalty: float = PENALTY) -> DataFrame:
+    """The rows of ``df``, all columns unchanged, whose language is known with a score of at least ``least``."""
+    predict = _predictor(model, penalty, False)
+    columns = df.columns
+    doc, text = columns.index(id_col), columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch) == 0:
+                continue
+            asked = pa.RecordBatch.from_arrays([batch.column(doc), batch.column(doc), batch.column(text)], ["doc_id", "held_out", "text"])
+            found = pa.Table.from_batches(list(predict(iter([asked]))))
+            score, named = found.column("score").to_numpy(), found.column("lang_pred").to_pylist()
+            yield batch.filter(pa.array([s >= least and n != "und" for s, n in zip(score.tolist(), named, strict=True)], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

@@ -36,9 +36,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from strandmill.llm.common import free_shuffles, stage, text_slices
+from strandmill.llm.common import free_shuffles, only_repeated, stage, text_slices, unique_rows
 from strandmill.llm.textscan import gram_hash, span_hash, word_spans
 
 WINDOW, PREFIX = 20, 10
@@ -85,28 +84,6 @@ def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(loc)], ["key", "doc_id", "part", "loc"])
 
 
-def _only_repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key, those whose key has a neighbour; one row is held back between batches."""
-    held, before = None, None
-    for batch in batches:
-        if len(batch) == 0:
-            continue
-        table = pa.Table.from_batches([b for b in (held, batch) if b is not None]).combine_chunks()
-        key = table.column(0).to_numpy()
-        same = key[1:] == key[:-1]
-        keep = np.zeros(len(key), bool)
-        keep[1:] |= same
-        keep[:-1] |= same
-        if before is not None:
-            keep[0] |= key[0] == before
-        if len(key) > 1:
-            before = int(key[-2])
-        held = table.slice(len(key) - 1).combine_chunks().to_batches()[0]
-        yield from table.slice(0, len(key) - 1).filter(pa.array(keep[:-1])).to_batches()
-    if held is not None and before is not None and held.column(0)[0].as_py() == before:
-        yield held
-
-
 _SEGMENT = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("part", pa.int32()), ("loc", pa.int64()), ("segment", pa.binary()), ("repeats", pa.int64())])
 
 
@@ -270,7 +247,7 @@ def repeated_windows(rows: DataFrame) -> DataFrame:
     """Repeats in (doc_id, part, text): runs of ``n`` repeated windows from word ``start`` on."""
     spark = rows.sparkSession
     found = rows.mapInArrow(_find_anchors, "key long, doc_id long, part int, loc long")
-    found = stage(found.repartition("key").sortWithinPartitions("key").mapInArrow(_only_repeated, found.schema), "anchors")
+    found = stage(found.repartition("key").sortWithinPartitions("key").mapInArrow(only_repeated, found.schema), "anchors")
     free_shuffles(spark)
     per_doc = found.groupBy("doc_id", "part").agg(F.collect_list(F.struct("key", "loc")).alias("marks"))
     on = rows["doc_id"].eqNullSafe(per_doc["doc_id"]) & (rows["part"] == per_doc["part"])
@@ -284,10 +261,7 @@ def repeated_windows(rows: DataFrame) -> DataFrame:
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept_sha256, kept_text."""
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(0).alias("part"), F.col(text_col).alias("text"))
-    if not rows.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        part = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-        rows = stage(rows.withColumn("part", part), "rows")
+    rows = unique_rows(df, id_col, text_col)
     marks = repeated_windows(rows).groupBy("doc_id", "part").agg(F.collect_list(F.struct("start", "n")).alias("marks"))
     on = rows["doc_id"].eqNullSafe(marks["doc_id"]) & (rows["part"] == marks["part"])
     return rows.join(marks, on, "left").select(rows["doc_id"], "text", "marks").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
