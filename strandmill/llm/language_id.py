@@ -7,8 +7,9 @@ scripts include the word's (script ranges narrow the candidates), and a Viterbi
 pass with a switching penalty labels spans. The document's language is the one
 with most letters; its score is that language's share of all letters.
 
-A constant labelling is provably optimal when no run of words gains half the
-penalty under any other language; only other documents need the full pass.
+A constant labelling is provably optimal when no run of words gains the penalty,
+and no first or last run half of it, under any other language; only other
+documents need the full pass.
 
 Edge cases: null texts and texts without a letter are ``und`` with score 0; so is
 everything when no row is labelled; letters of scripts that no learned language
@@ -156,6 +157,41 @@ def viterbi(s: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
     return path
 
 
+def viterbi_batch(s: np.ndarray, starts: np.ndarray, lens: np.ndarray, penalty: float = PENALTY) -> list[np.ndarray]:
+    """:func:`viterbi` of several documents at once, word by word; the last few long ones go on alone."""
+    k, order = s.shape[1], np.argsort(-lens, kind="stable")
+    at, size = starts[order], lens[order]
+    best, back = s[at].astype(float), np.zeros(s.shape, np.int8 if k < 128 else np.int32)
+    own, t = np.arange(k), 1
+    while t < size[0] and (live := int(np.searchsorted(-size, -t, side="left"))) >= 8:
+        now = best[:live]
+        top = now.argmax(1)
+        jump = now[np.arange(live), top][:, None] - penalty
+        stay = now >= jump
+        back[at[:live] + t] = np.where(stay, own, top[:, None])
+        best[:live] = np.where(stay, now, jump) + s[at[:live] + t]
+        t += 1
+    for d in range(len(at)):
+        if size[d] <= t:
+            break
+        state = best[d].tolist()
+        for w, row in enumerate(s[at[d] + t : at[d] + size[d]].tolist(), t):
+            most = max(state)
+            jump, top = most - penalty, state.index(most)
+            back[at[d] + w] = [i if v >= jump else top for i, v in enumerate(state)]
+            state = [(v if v >= jump else jump) + x for v, x in zip(state, row, strict=True)]
+        best[d] = state
+    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(at)
+    for d, doc in enumerate(order.tolist()):
+        steps, here = back[at[d] : at[d] + size[d]].tolist(), int(best[d].argmax())
+        path = [here]
+        for step in reversed(steps[1:]):
+            here = step[here]
+            path.append(here)
+        out[doc] = np.array(path[::-1])
+    return out
+
+
 def label(scores: np.ndarray, first: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
     """Viterbi labels of all words of a slice; documents begin at ``first``."""
     n = len(scores)
@@ -172,11 +208,17 @@ def label(scores: np.ndarray, first: np.ndarray, penalty: float = PENALTY) -> np
     adv = acc - np.concatenate([[0.0], np.cumsum(scores[np.arange(n), labels], dtype=np.float64)])[:, None]
     lift = (adv.max() - adv.min() + penalty + 1) * np.arange(len(counts), 0, -1)  # separates documents for one running minimum
     low = np.minimum.accumulate(adv[:-1] + lift[doc][:, None], 0) - lift[doc][:, None]
-    gain = np.zeros((len(counts), scores.shape[1]))
-    some = counts > 0
-    gain[some] = np.maximum.reduceat(adv[1:] - low, first[:-1][some], axis=0)
-    for d in np.flatnonzero(some & (gain.max(1) > penalty / 2 - 1e-6)).tolist():
-        labels[first[d] : first[d + 1]] = viterbi(scores[first[d] : first[d + 1]], penalty)
+    some = np.flatnonzero(counts > 0)
+    head, tail = first[:-1][some], first[1:][some]
+    inner = np.maximum.reduceat(adv[1:] - low, head, axis=0).max(1)
+    begin = (np.maximum.reduceat(adv[1:], head, axis=0) - adv[head]).max(1)
+    end = (adv[tail] - np.minimum.reduceat(adv[:-1], head, axis=0)).max(1)
+    # m runs take m - 1 switches: first and last run may gain half a penalty each, others one, and still not pay
+    eps = 1e-6
+    open_ = some[(inner > penalty - eps) | (begin > penalty / 2 - eps) | (end > penalty / 2 - eps)]
+    if len(open_):
+        for d, path in zip(open_.tolist(), viterbi_batch(scores, first[open_], counts[open_], penalty), strict=True):
+            labels[first[d] : first[d + 1]] = path
     return labels
 
 
