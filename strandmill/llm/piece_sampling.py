@@ -204,17 +204,19 @@ def segment(lat: Lattice, data: np.ndarray, offs: np.ndarray, keys: np.ndarray)
         acc = np.cumsum(mass)
         lead = np.flatnonzero(group)
         acc = np.minimum(acc - np.concatenate([[0.0], acc[lead[1:] - 1]])[rank], 1.0)
-        acc[np.concatenate([lead[1:] - 1, [len(acc) - 1]])] = 1.0
+        acc[np.concatenate([lead[1:] - 1, [len(acc) - 1]])] = 1.0  # the last option takes what rounding leaves
         ladder = rank + acc
         rank_of = np.zeros(len(alpha), np.int64)
         rank_of[b] = rank
+        stop = np.concatenate([lead[1:] - 1, [len(acc) - 1]])
         node = (end + np.arange(len(size)))[same]
         zero = (begin + np.arange(len(size)))[same]
         live = np.argsort(same, kind="stable")  # occurrences of a unit side by side: neighbours look up neighbouring steps
         while len(live):
             local = node[live] - zero[live]
             r = uniform(seed[doc[live]], us[live] + local - at[doc[live]])
-            e = np.searchsorted(ladder, rank_of[node[live]] + r, side="right")
+            group = rank_of[node[live]]
+            e = np.minimum(np.searchsorted(ladder, group + r, side="right"), stop[group])  # the sum may round up to the next step
             node[live] = a[e]
             out[us[live] + a[e] - zero[live]] = pid[e]
             live = live[a[e] > zero[live]]
