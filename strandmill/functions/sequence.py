@@ -55,12 +55,23 @@ def gc_content(seq: Column | str) -> Column:
     return F.when(n > 0, 100.0 * gc_count(seq) / n).otherwise(0.0)
 
 
+def windows(seq: Column | str, k: int) -> Column:
+    """Array of (off, kmer): all k-letter substrings, also overlapping ones.
+
+    One pass of a lookahead; a substring for each offset would walk the string anew.
+    """
+    found = F.regexp_extract_all(_col(seq), F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))
+    return F.transform(found, lambda w, i: F.struct(i.alias("off"), w.alias("kmer")))
+
+
 def kmers(seq: Column | str, k: int, stride: int = 1, origin: Column | int = 0) -> Column:
     """Array of (off, kmer) for offsets whose global coordinate ``origin + off`` is a multiple of ``stride``.
 
     K-mers with a letter other than ACGT are left out before the array is exploded.
     """
     s = _col(seq)
+    if stride == 1:
+        return F.filter(windows(s, k), lambda p: ~p["kmer"].contains("N"))
     o = F.lit(origin) if isinstance(origin, int) else origin
     last = F.length(s) - k
     first = F.pmod(F.lit(stride) - F.pmod(o, F.lit(stride)), F.lit(stride)).cast("int")

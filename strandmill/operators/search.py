@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandmill.functions.sequence import hamming
+from strandmill.functions.sequence import hamming, windows
 from strandmill.operators.index import WIDTH
 
 
@@ -16,12 +16,12 @@ def occurrences(ref_chunks: DataFrame, patterns: DataFrame, anchor: int = 4, wid
     meet the chunks on their first ``anchor`` letters; the rest is compared in place.
     Empty and shorter patterns have none.
     """
-    last = F.least(F.lit(width), F.length("seq") - anchor + 1)
-    at = F.when(last > 0, F.sequence(F.lit(0), last - 1)).otherwise(F.array().cast("array<int>"))
-    grams = F.transform(at, lambda i: F.struct(i.alias("off"), F.col("seq").substr(i + 1, F.lit(anchor)).alias("a")))
+    longest = patterns.agg(F.max(F.length("pattern"))).first()[0] or 0
+    # each offset with as many letters as the longest pattern, not with its whole chunk
+    grams = F.regexp_extract_all(F.col("seq").substr(F.lit(1), F.lit(width + max(longest, 1) - 1)), F.lit(f"(?s)(?=(.{{1,{max(longest, 1)}}}))"), F.lit(1))
     wanted = patterns.filter(F.length("pattern") >= anchor).select("pattern", F.substring("pattern", 1, anchor).alias("a")).distinct()
-    rows = ref_chunks.select("contig_id", "chunk_start", "seq", F.explode(grams).alias("g")).select("contig_id", "chunk_start", "seq", "g.off", "g.a")
-    hit = rows.join(wanted, "a").filter(F.col("seq").substr(F.col("off") + 1, F.length("pattern")) == F.col("pattern"))
+    rows = ref_chunks.select("contig_id", "chunk_start", F.posexplode(grams).alias("off", "here")).filter(F.col("off") < width)
+    hit = rows.join(wanted, F.substring("here", 1, anchor) == F.col("a")).filter(F.col("here").startswith(F.col("pattern")))
     return hit.select("pattern", "contig_id", (F.col("chunk_start") + F.col("off")).alias("pos"))
 
 
@@ -38,9 +38,7 @@ def mismatch_occurrences(ref_chunks: DataFrame, patterns: DataFrame, k: int, wid
         raise ValueError("patterns of more than 256 different piece lengths; split them into calls")
     out = None
     for w in widths:
-        at = F.when(F.length("seq") >= w, F.sequence(F.lit(0), F.length("seq") - w)).otherwise(F.array().cast("array<int>"))
-        grams = F.transform(at, _gram(w))
-        rows = ref_chunks.select("contig_id", "chunk_start", "seq", F.explode(grams).alias("g")).select("contig_id", "chunk_start", "seq", "g.off", "g.piece")
+        rows = ref_chunks.select("contig_id", "chunk_start", "seq", F.explode(windows("seq", w)).alias("g")).select("contig_id", "chunk_start", "seq", "g.off", F.col("g.kmer").alias("piece"))
         hit = rows.join(pieces.filter(F.col("w") == w), "piece").withColumn("at", F.col("off") - F.col("shift")).filter((F.col("at") >= 0) & (F.col("at") < width))
         hit = hit.withColumn("mismatches", hamming(F.col("seq").substr(F.col("at") + 1, F.length("pattern")), "pattern")).filter((F.col("mismatches") >= 0) & (F.col("mismatches") <= k))
         found = hit.select("pattern", "contig_id", (F.col("chunk_start") + F.col("at")).alias("pos"), "mismatches")
@@ -48,7 +46,3 @@ def mismatch_occurrences(ref_chunks: DataFrame, patterns: DataFrame, k: int, wid
     if out is None:
         return ref_chunks.limit(0).select(F.lit("").alias("pattern"), "contig_id", F.col("chunk_start").alias("pos"), F.lit(0).alias("mismatches"))
     return out.distinct()
-
-
-def _gram(w: int):
-    return lambda i: F.struct(i.alias("off"), F.col("seq").substr(i + 1, F.lit(w)).alias("piece"))
