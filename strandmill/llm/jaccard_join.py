@@ -14,10 +14,11 @@ chance among that band's sets. A set with a segment too small to say anything
 no signature is shared merely for being empty.
 
 Equal sets are one class from the start. Sets that share a signature are compared
-exactly, first with the least of their group; groups whose members are by then
-all connected are done, others take more pivots, doubling each time, so a large
-group of near copies never meets in all pairs and no link that would join two
-components is lost.
+exactly, first with the most central of their group. Groups whose members are by
+then all connected are done. The others' sets are sent once to blocks of bounded
+size, where overlaps are counted on bit sets and only links that join components
+come out; pairs of sets are never rows. No link that would join two components is
+lost.
 
 Edge cases: null texts, and texts without words, have an empty set, link with
 nothing and are their own component; texts below n words have one shingle, the
@@ -36,12 +37,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from strandmill.llm.common import free_shuffles, only_repeated, stage, text_slices, unique_rows
 from strandmill.llm.textscan import LOWER, gram_hash, mix, span_hash, word_spans
 
 NUM, DEN, SHINGLE = 90, 100, 3
 LEVELS, CHANCE, PAIR_COST = 4, 0.25, 8.0
+BLOCK_TOKENS = 1 << 18
 _U = np.uint64
 
 
@@ -168,44 +171,97 @@ def _sign(n: int, num: int, den: int, chosen: dict[int, int]):
     return run
 
 
-def _pivot_pairs(pivots: int, num: int, den: int):
-    """Groups of one signature, sorted, to pairs with their first ``pivots`` members, and the members left (kind 1)."""
-
-    def pairs(sig: int, cid: np.ndarray, n: np.ndarray, comp: np.ndarray) -> list[pa.RecordBatch]:
-        if len(cid) < 2 or (comp == comp[0]).all():
-            return []
-        out = []
-        for p in range(min(pivots, len(cid) - 1)):
-            late = slice(p + 1, None)
-            ok = (comp[late] != comp[p]) & (den * np.minimum(n[late], n[p]) >= num * np.maximum(n[late], n[p]))
-            b = cid[late][ok]
-            if len(b):
-                a = np.full(len(b), cid[p])
-                out.append(_rows(0, np.minimum(a, b), np.maximum(a, b), np.zeros(len(b), np.int64)))
-        if len(cid) - pivots > 1:
-            out.append(_rows(1, np.full(len(cid) - pivots, sig), cid[pivots:], n[pivots:]))
-        return out
+def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (sig, cid, n) sorted by sig: how many others share each signature, row by row."""
+    for sig, cid, n in _groups(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array(np.full(len(cid), len(cid) - 1))], ["cid", "others"])
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(key, column, ...) of each run of the first column, over a sorted stream."""
+    held: list[tuple] = []
+    for batch in batches:
+        cols = [c.to_numpy() for c in batch.columns]
+        key = cols[0]
+        cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            if hi == lo:
+                continue
+            if held and held[0][0] != key[lo]:
+                yield held[0][0], *(np.concatenate([h[1][k] for h in held]) for k in range(len(cols) - 1))
+                held = []
+            held.append((int(key[lo]), [c[lo:hi] for c in cols[1:]]))
+    if held:
+        yield held[0][0], *(np.concatenate([h[1][k] for h in held]) for k in range(len(held[0][1])))
+
+
+def _hub_pairs(num: int, den: int):
+    """Groups of one signature (sig, cid, n, weight) to pairs of their most central member with each other one of fitting size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        for batch in batches:
-            sig, cid, n, comp = (c.to_numpy() for c in batch.columns)
-            cuts = [0, *(np.flatnonzero(sig[1:] != sig[:-1]) + 1).tolist(), len(sig)]
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                if hi == lo:
-                    continue
-                if held and held[0][0] != sig[lo]:
-                    yield from pairs(held[0][0], *(np.concatenate([h[k] for h in held]) for k in (1, 2, 3)))
-                    held = []
-                held.append((int(sig[lo]), cid[lo:hi], n[lo:hi], comp[lo:hi]))
-        if held:
-            yield from pairs(held[0][0], *(np.concatenate([h[k] for h in held]) for k in (1, 2, 3)))
+        for _, cid, n, weight in _groups(batches):
+            hub = np.lexsort((cid, -weight))[0]
+            ok = (cid != cid[hub]) & (den * np.minimum(n, n[hub]) >= num * np.maximum(n, n[hub]))
+            if ok.any():
+                b = cid[ok]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(b, cid[hub])), pa.array(np.maximum(b, cid[hub]))], ["a", "b"])
 
     return run
 
 
-def _rows(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(n)], ["kind", "a", "b", "n"])
+def block_links(cid: np.ndarray, comp: np.ndarray, side: np.ndarray, tokens: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+    """Links that join components among the sets of one or two blocks (``side`` 0 and 1), by exact overlaps.
+
+    Tokens that stand in several sets become bits; overlaps of one set with all
+    others are counted at once. Pairs already connected are passed over, so a block
+    gives at most one link less than it has sets.
+    """
+    flat = np.concatenate(tokens)
+    size = np.array([len(t) for t in tokens])
+    owner = np.repeat(np.arange(len(tokens)), size)
+    _, name, count = np.unique(flat, return_inverse=True, return_counts=True)
+    common = count[name] > 1
+    _, bit = np.unique(name[common], return_inverse=True)
+    words = int(bit.max()) // 64 + 1 if len(bit) else 1
+    bits = np.zeros((len(tokens), words), np.uint64)
+    np.bitwise_or.at(bits, (owner[common], bit // 64), np.uint64(1) << (bit % 64).astype(np.uint64))
+    label = np.unique(comp, return_inverse=True)[1].copy()
+    two, out = len(np.unique(side)) > 1, []
+    for i in range(len(tokens)):
+        late = np.arange(len(tokens)) > i
+        ask = np.flatnonzero((side != side[i] if two else late) & (label != label[i]) & (late | two) & (den * np.minimum(size, size[i]) >= num * np.maximum(size, size[i])))
+        if two and side[i]:
+            break
+        if len(ask) == 0:
+            continue
+        both = np.bitwise_count(bits[ask] & bits[i]).sum(1).astype(np.int64)
+        for k in ask[den * both >= num * (size[ask] + size[i] - both)].tolist():
+            if label[k] != label[i]:
+                label[label == label[k]] = label[i]
+                out.append((min(int(cid[i]), int(cid[k])), max(int(cid[i]), int(cid[k]))))
+    return out
+
+
+def _block_links(num: int, den: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def links() -> pa.RecordBatch:
+            cid, comp, side, raw = zip(*held, strict=True)
+            found = block_links(np.array(cid), np.array(comp), np.array(side), [np.frombuffer(r, np.uint64) for r in raw], num, den)
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            for g, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (g, i, j) != key:
+                    if held:
+                        yield links()
+                    key, held = (g, i, j), []
+                held.append(row)
+        if held:
+            yield links()
+
+    return run
 
 
 def _sets(n: int):
@@ -249,6 +305,29 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
+def _residual(left: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links among members (cid, head, n, comp) of torn groups.
+
+    Groups that share members form a family; a family's sets, in order of size, are
+    cut into blocks of about BLOCK_TOKENS, and each pair of blocks whose sizes can
+    link at all is one unit of work. Sets are sent once for each such pair, pairs of
+    sets never.
+    """
+    family = components(left.select(F.col("cid").alias("a"), F.col("head").alias("b")))
+    member = left.select("cid", "n", F.col("comp").alias("now")).distinct()
+    member = member.join(family.select(F.col("node").alias("cid"), F.col("comp").alias("family")), "cid", "left").select("cid", "n", "now", F.coalesce("family", "cid").alias("family"))
+    before = W.partitionBy("family").orderBy("n", "cid").rowsBetween(W.unboundedPreceding, -1)
+    member = stage(member.withColumn("block", F.floor(F.coalesce(F.sum(F.greatest("n", F.lit(128))).over(before), F.lit(0)) / BLOCK_TOKENS)), "members")
+    span = member.groupBy("family", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    p, q = (span.select("family", *[F.col(c).alias(f"{c}{k}") for c in ("block", "lo", "hi")]) for k in "ij")
+    # sizes grow with the block: only near neighbours can link
+    near = p.join(q, "family").filter((F.col("blocki") <= F.col("blockj")) & (F.col("hii") * den >= F.col("loj") * num)).select("family", F.col("blocki").alias("i"), F.col("blockj").alias("j"))
+    first = member.join(near.withColumn("block", F.col("i")), ["family", "block"]).withColumn("side", F.lit(0))
+    second = member.join(near.filter("i != j").withColumn("block", F.col("j")), ["family", "block"]).withColumn("side", F.lit(1))
+    work = first.unionByName(second).select("family", "i", "j", "cid", "now", "side").join(sets, "cid").select("family", "i", "j", "cid", "now", "side", "tokens")
+    return work.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "side").mapInArrow(_block_links(num, den), "a long, b long")
+
+
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, class_size, row key ``part``.
 
@@ -281,21 +360,22 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sets = stage(rows.join(needed, on).select("cid", "text").mapInArrow(_sets(shingle), "cid long, tokens binary"), "sets")
     free_shuffles(spark)
 
-    links, comp, pivots = None, None, 1
-    while True:
-        members = near.withColumn("comp", F.col("cid")) if comp is None else near.join(comp, near["cid"] == comp["node"], "left").select("sig", "cid", "n", F.coalesce("comp", "cid").alias("comp"))
-        ordered = members.repartition("sig").sortWithinPartitions("sig", "cid")
-        step = stage(ordered.mapInArrow(_pivot_pairs(pivots, num, den), "kind int, a long, b long, n long"), "pairs")
-        pairs = step.filter("kind = 0").select("a", "b").distinct()
-        a, b = sets.select(F.col("cid").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("cid").alias("b"), F.col("tokens").alias("y"))
-        found = stage(pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(_verified(num, den), "a long, b long"), "links")
-        links = found if comp is None else comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(found)
+    # 1. in each group of a signature, all against the member that shares most signatures with most sets
+    weight = near.repartition("sig").sortWithinPartitions("sig").mapInArrow(_sized, "cid long, others long").groupBy("cid").agg(F.sum("others").alias("weight"))
+    weighed = near.join(weight, "cid").select("sig", "cid", "n", "weight")
+    pairs = weighed.repartition("sig").sortWithinPartitions("sig").mapInArrow(_hub_pairs(num, den), "a long, b long").distinct()
+    a, b = sets.select(F.col("cid").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("cid").alias("b"), F.col("tokens").alias("y"))
+    links = stage(pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(_verified(num, den), "a long, b long"), "links")
+    comp = components(links)
+    free_shuffles(spark)
+    # 2. groups of a signature that are not one component yet: their sets, once each, in blocks of bounded size
+    seen = near.join(comp, near["cid"] == comp["node"], "left").select("sig", "cid", "n", F.coalesce("comp", "cid").alias("comp"))
+    torn = seen.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("cid").alias("head")).filter("lo != hi")
+    left = stage(seen.join(torn.select("sig", "head"), "sig").select("cid", "head", "n", "comp").distinct(), "torn")
+    if not left.isEmpty():
+        links = stage(links.unionByName(_residual(left, sets, num, den)), "links")
         comp = components(links)
-        near = step.filter("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("cid"), "n")
         free_shuffles(spark)
-        if near.isEmpty():
-            break
-        pivots *= 4
     linked = classes.join(comp, classes["cid"] == comp["node"], "left").select("n_shingles", "fa", "fb", "least", "class_size", F.coalesce("comp", "cid").alias("comp"))
     heads = linked.groupBy("comp").agg(F.min("least").alias("component_id"), F.sum("class_size").alias("rows")).filter("rows > 1")
     special = stage(linked.join(heads, "comp").select("n_shingles", "fa", "fb", "component_id", "class_size"), "linked")
