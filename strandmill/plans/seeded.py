@@ -78,7 +78,7 @@ def planned_seeds(both: DataFrame, k: int, seed: int, stride: int) -> DataFrame:
         return seed_positions(n, k, seed, stride)
 
     sizes = both.select(F.length("oseq").alias("n")).distinct().select("n", plan("n").alias("at"))
-    rows = both.withColumn("n", F.length("oseq")).join(F.broadcast(sizes.limit(100_000)), "n")
+    rows = both.withColumn("n", F.length("oseq")).join(sizes, "n")
     pairs = F.transform("at", lambda o: F.struct(o.alias("off"), F.col("oseq").substr(o + 1, F.lit(seed)).alias("kmer")))
     return rows.select("read_id", "strand", F.explode(F.filter(pairs, lambda p: ~p["kmer"].contains("N"))).alias("x")).select("read_id", "strand", "x.off", "x.kmer")
 
