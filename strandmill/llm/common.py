@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -34,7 +36,10 @@ def shared_dir(spark: SparkSession) -> str:
             base = "file://" + tempfile.mkdtemp(prefix="strandmill-")
             spark.sparkContext._strandmill_shared = base
             spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
+    # with its scheme, so that Spark and Python open the same store
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    full = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub("^file:/(?!/)", "file:///", full).rstrip("/")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -78,9 +83,15 @@ def release(spark: SparkSession) -> None:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files of finished, staged steps."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark's cleaner drop the shuffle files of finished, staged steps.
+
+    Adaptive plans let go of their shuffles only in a second collection, once
+    the first has been worked through.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
