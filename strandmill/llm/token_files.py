@@ -196,7 +196,7 @@ def write_token_files(df: DataFrame, tokenizer_path: str, root: str, end_id: int
     cuts = sorted({int(c) for c in cuts})
     enc_type = encoder(tokenizer_path).dtype.str
     coded = rows.mapInArrow(_encode(tokenizer_path, end_id, cuts), "bucket int, doc_id long, ids binary")
-    dealt = coded.repartition(len(cuts) + 1, "bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "ids")
+    dealt = coded.repartitionById(len(cuts) + 1, F.col("bucket")).sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "ids")
     files = stage(dealt.mapInArrow(_write(root, enc_type, seq), "bucket long, path string, n_docs long, n_tokens long"), "token-files")
     before = W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     return files.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).cast("long"))
