@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,39 +14,76 @@ MAX_LENGTH = 1 << 24
 
 
 def suffix_order(codes: np.ndarray) -> np.ndarray:
-    """Starts of all suffixes in order, by prefix doubling."""
+    """Starts of all suffixes in order, by prefix doubling; ranks are packed unsorted while they fit."""
     n = len(codes)
     rank = np.unique(codes, return_inverse=True)[1].astype(np.int64)
-    step = 1
-    while n and rank.max() < n - 1:
+    size, step, dense = int(rank.max()) + 1 if n else 0, 1, True
+    while not dense or size < n:
         second = np.full(n, -1, np.int64)
         second[: n - step] = rank[step:] if step < n else second[: n - step]
-        rank = np.unique(rank * (n + 1) + second + 1, return_inverse=True)[1]
+        rank, size, dense = rank * (size + 1) + second + 1, size * (size + 1), False
         step *= 2
+        if size >= 1 << 31 or step >= n:
+            rank = np.unique(rank, return_inverse=True)[1]
+            size, dense = int(rank.max()) + 1, True
     return np.argsort(rank, kind="stable")
 
 
-def suffix_array(contigs: DataFrame, max_length: int = MAX_LENGTH) -> DataFrame:
-    """contig_id, row, pos, ch: suffixes of ``seq`` + ``$`` in order, and the BWT letter before each.
+def _each(contigs: DataFrame, table: Callable, schema: str, max_length: int) -> DataFrame:
+    """``table(text, suffix array)`` of every contig, with its contig_id in front; nothing is shuffled.
 
     One task for each contig, so contigs above ``max_length`` are refused.
     """
     text = F.when(F.length("seq") > max_length, F.raise_error(F.lit("contig too long for a suffix array"))).otherwise(F.col("seq"))
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for cid, seq in zip(pdf["contig_id"], pdf["seq"], strict=True):
-            t = np.frombuffer((seq + "$").encode(), np.uint8)
-            sa = suffix_order(t)
-            out.append(pd.DataFrame({"contig_id": cid, "row": np.arange(len(t)), "pos": sa, "ch": [chr(c) for c in t[sa - 1]]}))
-        return pd.concat(out)
-
     def each(frames):
         for pdf in frames:
-            for i in range(len(pdf)):
-                yield build(pdf.iloc[i : i + 1])
+            for cid, seq in zip(pdf["contig_id"], pdf["seq"], strict=True):
+                t = np.frombuffer((seq + "$").encode(), np.uint8)
+                out = pd.DataFrame(table(t, suffix_order(t)))
+                out.insert(0, "contig_id", cid)
+                yield out
+
+    return contigs.select("contig_id", text.alias("seq")).mapInPandas(each, f"contig_id long, {schema}")
+
+
+def _letters(codes: np.ndarray) -> np.ndarray:
+    return np.array([chr(c) for c in range(256)], object)[codes]
+
+
+def suffix_array(contigs: DataFrame, max_length: int = MAX_LENGTH) -> DataFrame:
+    """contig_id, row, pos, ch: suffixes of ``seq`` + ``$`` in order, and the BWT letter before each."""
+    return _each(contigs, lambda t, sa: {"row": np.arange(len(t)), "pos": sa, "ch": _letters(t[sa - 1])}, "row long, pos long, ch string", max_length)
+
+
+def bwt_strings(contigs: DataFrame, max_length: int = MAX_LENGTH) -> DataFrame:
+    """contig_id, bwt."""
+    return _each(contigs, lambda t, sa: {"bwt": [t[sa - 1].tobytes().decode()]}, "bwt string", max_length)
+
+
+def contig_symbol_starts(contigs: DataFrame, max_length: int = MAX_LENGTH) -> DataFrame:
+    """:func:`symbol_starts` of whole contigs, counted where the suffixes are sorted."""
+
+    def table(t: np.ndarray, sa: np.ndarray) -> dict:
+        ch, n = np.unique(t[sa - 1], return_counts=True)
+        return {"ch": _letters(ch), "n": n, "start": np.cumsum(n) - n}
+
+    return _each(contigs, table, "ch string, n long, start long", max_length)
+
+
+def contig_checkpoints(contigs: DataFrame, every: int = 32, max_length: int = MAX_LENGTH) -> DataFrame:
+    """:func:`checkpoints` of whole contigs, counted where the suffixes are sorted."""
+
+    def table(t: np.ndarray, sa: np.ndarray) -> dict:
+        bwt, rows = t[sa - 1], np.arange(0, len(t), every)
+        return {"row": rows} | {f"n_{c.lower()}": np.concatenate([[0], np.cumsum(bwt == ord(c))])[rows] for c in "ACGT"}
+
+    return _each(contigs, table, "row long, n_a long, n_c long, n_g long, n_t long", max_length)
+
 
-    return contigs.select("contig_id", text.alias("seq")).mapInPandas(each, "contig_id long, row long, pos long, ch string")
+def contig_samples(contigs: DataFrame, every: int = 32, max_length: int = MAX_LENGTH) -> DataFrame:
+    """:func:`sampled` of whole contigs."""
+    return _each(contigs, lambda t, sa: {"row": np.arange(0, len(t), every), "pos": sa[::every]}, "row long, pos long", max_length)
 
 
 def symbol_starts(bwt: DataFrame) -> DataFrame:

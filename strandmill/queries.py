@@ -1,6 +1,8 @@
 """The registered queries of the sequence engine and their SQL.
 
-Every query runs over whole tables. Sequences come from
+Every query runs over whole tables, and over whole texts but for ``quality_trim``
+and the five suffix queries with SQL, whose SQL takes the first 160 and 120
+letters; ``..._whole`` of each runs over whole texts. Sequences come from
 :mod:`strandmill.plans.dna_view`; alignment tables are derived from ``orders`` by
 arithmetic on keys that both engines share (``RECORDS``).
 """
@@ -488,6 +490,31 @@ def sa_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.sampled(_heads(spark, sf_dir))
 
 
+def suffix_array_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.suffix_array(contigs(spark, sf_dir)).select("contig_id", "row", "pos")
+
+
+def bwt_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.bwt_strings(contigs(spark, sf_dir))
+
+
+def fm_counts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.contig_symbol_starts(contigs(spark, sf_dir))
+
+
+def occ_checkpoints_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.contig_checkpoints(contigs(spark, sf_dir))
+
+
+def sa_samples_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.contig_samples(contigs(spark, sf_dir))
+
+
+# no SQL: DuckDB would write out and sort every suffix of a text
+for _whole in (suffix_array_whole, bwt_whole, fm_counts_whole, occ_checkpoints_whole, sa_samples_whole):
+    QUERIES[_whole.__name__] = _whole
+
+
 # --- events and runs ----------------------------------------------------------------
 
 

@@ -224,6 +224,28 @@ def test_suffix_array(spark):
         assert [(p, ch) for _, p, ch in sorted(got[c])] == [(p, t[p - 1]) for p in want]
 
 
+def test_suffix_queries_over_whole_texts(spark, tmp_path):
+    from strandmill.queries import QUERIES
+
+    seqs = [genome(8, 700), genome(9, 90) * 4, "", "ACGTACGTACGTACGTN", "A" * 300]
+    letters = str.maketrans("ACGTN", "abcd.")
+    spark.createDataFrame([(i, s.translate(letters).replace("c", "g" if i % 2 else "c")) for i, s in enumerate(seqs)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    from strandmill.plans.dna_view import contigs as texts
+
+    got = {q: [tuple(r) for r in QUERIES[f"{q}_whole"](spark, str(tmp_path)).collect()] for q in ("suffix_array", "bwt", "fm_counts", "occ_checkpoints", "sa_samples")}
+    want = {q: [] for q in got}
+    for c, _, s in texts(spark, str(tmp_path)).collect():
+        t = s + "$"
+        sa = sorted(range(len(t)), key=lambda i: t[i:])
+        bwt = "".join(t[p - 1] for p in sa)
+        want["suffix_array"] += [(c, r, p) for r, p in enumerate(sa)]
+        want["bwt"].append((c, bwt))
+        want["fm_counts"] += [(c, x, bwt.count(x), sum(y < x for y in bwt)) for x in sorted(set(bwt))]
+        want["occ_checkpoints"] += [(c, r, *[bwt[:r].count(x) for x in "ACGT"]) for r in range(0, len(t), 32)]
+        want["sa_samples"] += [(c, r, sa[r]) for r in range(0, len(t), 32)]
+    assert {q: sorted(v) for q, v in got.items()} == {q: sorted(v) for q, v in want.items()}
+
+
 @pytest.mark.parametrize("every", [1, 3, 4, 5, 8, 16, 32, 256])
 def test_occ_and_locate(every):
     for n in (1, 2, 17, 64, 129):
