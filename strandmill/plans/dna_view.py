@@ -45,4 +45,4 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality(name: Column, seq: Column) -> Column:
     """A quality string as long as the sequence, from the MD5 of the name."""
     letters = F.translate(F.md5(name), "0123456789abcdef", "!$'*-0369<?BEHI#")
-    return F.substring(F.repeat(letters, 5), 1, 200).substr(F.lit(1), F.length(seq))
+    return F.repeat(letters, F.ceil(F.length(seq) / 32).cast("int")).substr(F.lit(1), F.length(seq))

@@ -141,12 +141,22 @@ def seq_global_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _QUAL = "substr(substr(repeat(translate(md5(name), '0123456789abcdef', '!$''*-0369<?BEHI#'), 5), 1, 200), 1, length(seq))"
+_QUAL_WHOLE = "substr(repeat(translate(md5(name), '0123456789abcdef', '!$''*-0369<?BEHI#'), CAST(ceil(length(seq) / 32) AS BIGINT)), 1, length(seq))"
 
 
 @query(f"""WITH {_C}, q AS (SELECT name, substr(seq, 1, 160) AS seq FROM c), t AS (SELECT name, length(regexp_replace({_QUAL}, '[!-2]+$', '')) AS keep, length(seq) AS n FROM q)
 SELECT count(*) AS n_reads, CAST(sum(n) AS BIGINT) AS bases_in, CAST(sum(keep) AS BIGINT) AS bases_kept, CAST(min(keep) AS INTEGER) AS shortest, CAST(max(keep) AS INTEGER) AS longest, CAST(floor(sum(keep) / count(*)) AS BIGINT) AS mean FROM t""")
 def quality_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = contigs(spark, sf_dir).select("name", F.substring("seq", 1, 160).alias("seq"))
+    return _trimmed(contigs(spark, sf_dir).select("name", F.substring("seq", 1, 160).alias("seq")))
+
+
+@query(f"""WITH {_C}, t AS (SELECT name, length(regexp_replace({_QUAL_WHOLE}, '[!-2]+$', '')) AS keep, length(seq) AS n FROM c)
+SELECT count(*) AS n_reads, CAST(sum(n) AS BIGINT) AS bases_in, CAST(sum(keep) AS BIGINT) AS bases_kept, CAST(min(keep) AS INTEGER) AS shortest, CAST(max(keep) AS INTEGER) AS longest, CAST(floor(sum(keep) / count(*)) AS BIGINT) AS mean FROM t""")
+def quality_trim_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _trimmed(contigs(spark, sf_dir).select("name", "seq"))
+
+
+def _trimmed(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("qual", quality(F.col("name"), F.col("seq"))).withColumn("n", F.length("seq"))
     cut = Q.trim(rows, 18).withColumn("keep", F.length("seq"))
     return cut.agg(F.count("*").alias("n_reads"), F.sum("n").alias("bases_in"), F.sum("keep").alias("bases_kept"), F.min("keep").alias("shortest"), F.max("keep").alias("longest"), F.floor(F.sum("keep") / F.count("*")).alias("mean"))

@@ -210,6 +210,25 @@ def test_align_columns(spark):
     assert all(r["s"] == r["l"] for r in got)
 
 
+def test_quality_covers_whole_texts(spark, tmp_path):
+    import hashlib
+
+    from strandmill.plans.dna_view import quality
+    from strandmill.queries import QUERIES
+
+    data = [(i, "ab " * n) for i, n in enumerate((0, 1, 40, 200, 3000))]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    assert df.filter(F.length(quality(F.col("doc_id").cast("string"), F.col("text"))) != F.length("text")).count() == 0
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    letters = str.maketrans("0123456789abcdef", "!$'*-0369<?BEHI#")
+    keep = []
+    for i, t in data:
+        q = (hashlib.md5(str(i).encode()).hexdigest().translate(letters) * 1000)[: len(t)]
+        keep.append(max((k + 1 for k, x in enumerate(q) if ord(x) - 33 >= 18), default=0))
+    bases = sum(len(t) for _, t in data)
+    assert tuple(QUERIES["quality_trim_whole"](spark, str(tmp_path)).first()) == (5, bases, sum(keep), min(keep), max(keep), sum(keep) // 5)
+
+
 # --- suffix structures ------------------------------------------------------------------
 
 
