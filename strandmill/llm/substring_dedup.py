@@ -11,8 +11,12 @@ every word it covers is removed.
 2. *Subtrees.* The text around each remaining anchor is sent to the group of its
    prefix. A group, or several small ones, is named by prefix doubling over its
    words (1, 2, 4, 8, 16, then 20): equal names are the internal nodes at depth
-   20 of the group's suffix tree, on real words, not on hashes. Groups above
-   ``GROUP_WORDS`` are split by a longer prefix (one more word of the window).
+   20 of the group's suffix tree, on real words, not on hashes. A prefix with
+   more than ``GROUP_SEGMENTS`` anchors is split before the shuffle: each of its
+   windows goes to the group of the longest prefix, the whole window, so a
+   passage that many documents share with different neighbours is dealt out.
+   Rows come in document order, so a group that still outgrows memory (copies of
+   one window) is thinned to its earliest windows as it is read.
    Within each node all but the earliest window are repeats.
 3. *Removal.* Repeats join their document once more and its words are cut.
 
@@ -42,6 +46,8 @@ from strandmill.llm.textscan import gram_hash, span_hash, word_spans
 
 WINDOW, PREFIX = 20, 10
 GROUP_WORDS, SEEN_SEGMENTS = 1 << 19, 200_000
+#: A segment has about 25 words; above so many a prefix is split.
+GROUP_SEGMENTS = GROUP_WORDS // 25
 _POS_BITS = np.uint64(22)
 
 
@@ -84,6 +90,25 @@ def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(loc)], ["key", "doc_id", "part", "loc"])
 
 
+def _repeated_anchors(limit: int):
+    """Body over anchors sorted by key: those that repeat, with ``over`` set once in each key of more than ``limit`` rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, 0
+        for batch in only_repeated(batches):
+            if len(batch) == 0:
+                continue
+            key = batch.column(0).to_numpy()
+            head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            rank = np.arange(len(key)) - np.repeat(head, np.diff(np.concatenate([head, [len(key)]])))
+            if last is not None and key[0] == last:
+                rank[: head[1] if len(head) > 1 else len(key)] += held
+            last, held = key[-1], int(rank[-1]) + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rank == limit)], [*batch.schema.names, "over"])
+
+    return run
+
+
 _SEGMENT = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("part", pa.int32()), ("loc", pa.int64()), ("segment", pa.binary()), ("repeats", pa.int64())])
 
 
@@ -99,21 +124,25 @@ def _cut_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 run_from = run_to = -1
                 for m in sorted(marks, key=lambda x: x["loc"]):
                     loc = m["loc"]
-                    start, count = loc >> 8, (loc & 15) + 1
-                    segment = b" ".join(words[start : start + count + WINDOW - 1])
-                    # the offset belongs to it: equal segments have equal anchors
-                    digest = hashlib.blake2b(segment, digest_size=16).digest()
-                    if digest not in seen:
-                        if len(seen) >= SEEN_SEGMENTS:
-                            seen.clear()
-                        seen.add(digest)
-                        out.append((m["key"], doc_id, n, loc, segment, 0))
-                    elif start == run_to:
-                        run_to = start + count
-                    else:
-                        if run_to > run_from:
-                            out.append((m["key"], doc_id, n, run_from, None, run_to - run_from))
-                        run_from, run_to = start, start + count
+                    pieces = [(loc >> 8, (loc & 15) + 1)]
+                    if m["large"]:
+                        pieces = [(pieces[0][0] + i, 1) for i in range(pieces[0][1])]
+                    for start, count in pieces:
+                        segment = b" ".join(words[start : start + count + WINDOW - 1])
+                        # the offset belongs to it: equal segments have equal anchors
+                        digest = hashlib.blake2b(segment, digest_size=16).digest()
+                        if digest not in seen:
+                            if len(seen) >= SEEN_SEGMENTS:
+                                seen.clear()
+                            seen.add(digest)
+                            key = int.from_bytes(digest[:8], "little", signed=True) if m["large"] else m["key"]
+                            out.append((key, doc_id, n, (start << 8) | (count - 1), segment, 0))
+                        elif start == run_to:
+                            run_to = start + count
+                        else:
+                            if run_to > run_from:
+                                out.append((m["key"], doc_id, n, run_from, None, run_to - run_from))
+                            run_from, run_to = start, start + count
                 if run_to > run_from:
                     out.append((m["key"], doc_id, n, run_from, None, run_to - run_from))
             if out:
@@ -182,6 +211,12 @@ def _repeats(rows: list[tuple]) -> list[tuple]:
     return out
 
 
+def _without(rows: list[tuple], found: list[tuple]) -> list[tuple]:
+    """Segments but for those all of whose windows are among the repeats found."""
+    runs = {(doc_id, part, start + i) for doc_id, part, start, n in found for i in range(n)}
+    return [r for r in rows if not all((r[0], r[1], (r[2] >> 8) + i) in runs for i in range((r[2] & 15) + 1))]
+
+
 def _document_order(rows: list[tuple], owner: np.ndarray, inner: np.ndarray) -> np.ndarray:
     """Rank of each window by (doc_id, part, start); a null doc_id first."""
     start = np.array([r[2] >> 8 for r in rows])[owner] + inner
@@ -197,9 +232,9 @@ _MARK = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("start", pa.in
 
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Segments sorted by prefix, several whole groups at a time, to repeated windows."""
+    """Segments sorted by prefix and document, several whole groups at a time, to repeated windows."""
     held: list[tuple] = []
-    size, key = 0, None
+    size, key, most = 0, None, 2 * GROUP_WORDS
 
     def marks(out: list[tuple]) -> pa.RecordBatch:
         cols = list(zip(*out, strict=True)) or [[]] * 4
@@ -213,7 +248,13 @@ def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             if k != key and size >= GROUP_WORDS // 2:
                 done += _repeats(held)
-                held, size = [], 0
+                held, size, most = [], 0, 2 * GROUP_WORDS
+            elif size >= most:  # what comes later is later in document order too
+                found = _repeats(held)
+                done += found
+                held = _without(held, found)
+                size = sum(WINDOW + (r[2] & 15) for r in held)
+                most = max(2 * GROUP_WORDS, 2 * size)
             key = k
             held.append((doc_id, part, loc, segment))
             size += WINDOW + (loc & 15)
@@ -243,25 +284,28 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
 
-def repeated_windows(rows: DataFrame) -> DataFrame:
+def repeated_windows(rows: DataFrame, limit: int = GROUP_SEGMENTS) -> DataFrame:
     """Repeats in (doc_id, part, text): runs of ``n`` repeated windows from word ``start`` on."""
     spark = rows.sparkSession
     found = rows.mapInArrow(_find_anchors, "key long, doc_id long, part int, loc long")
-    found = stage(found.repartition("key").sortWithinPartitions("key").mapInArrow(only_repeated, found.schema), "anchors")
+    found = stage(found.repartition("key").sortWithinPartitions("key").mapInArrow(_repeated_anchors(limit), "key long, doc_id long, part int, loc long, over boolean"), "anchors")
     free_shuffles(spark)
-    per_doc = found.groupBy("doc_id", "part").agg(F.collect_list(F.struct("key", "loc")).alias("marks"))
+    # one small row for each large prefix, so that the join costs no shuffle
+    large = stage(found.filter("over").select(F.col("key").alias("large_key")), "large-prefixes")
+    found = found.join(large, found["key"] == large["large_key"], "left")
+    per_doc = found.groupBy("doc_id", "part").agg(F.collect_list(F.struct("key", "loc", F.col("large_key").isNotNull().alias("large"))).alias("marks"))
     on = rows["doc_id"].eqNullSafe(per_doc["doc_id"]) & (rows["part"] == per_doc["part"])
     near = rows.join(per_doc, on).select(rows["doc_id"], rows["part"], "text", "marks").sortWithinPartitions("doc_id", "part")
     cut = near.mapInArrow(_cut_segments, "key long, doc_id long, part int, loc long, segment binary, repeats long")
-    marks = cut.repartition("key").sortWithinPartitions("key").mapInArrow(_subtrees, "doc_id long, part int, start long, n long")
+    marks = cut.repartition("key").sortWithinPartitions("key", "doc_id", "part", "loc").mapInArrow(_subtrees, "doc_id long, part int, start long, n long")
     marks = stage(marks, "repeats")
     free_shuffles(spark)
     return marks
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = GROUP_SEGMENTS) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept_sha256, kept_text."""
     rows = unique_rows(df, id_col, text_col)
-    marks = repeated_windows(rows).groupBy("doc_id", "part").agg(F.collect_list(F.struct("start", "n")).alias("marks"))
+    marks = repeated_windows(rows, limit).groupBy("doc_id", "part").agg(F.collect_list(F.struct("start", "n")).alias("marks"))
     on = rows["doc_id"].eqNullSafe(marks["doc_id"]) & (rows["part"] == marks["part"])
     return rows.join(marks, on, "left").select(rows["doc_id"], "text", "marks").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")

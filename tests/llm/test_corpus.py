@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 
 from strandmill.llm import exact_dedup, jaccard_join, substring_dedup
 from strandmill.llm.common import shared_dir
@@ -122,6 +123,44 @@ def test_oversized_groups_split_by_longer_prefixes(monkeypatch):
     assert sum(r[3] for r in whole) == count
 
 
+def test_large_prefixes_are_split_before_the_shuffle(spark, monkeypatch):
+    shared = prose(71, 45)
+    data = repeat_data() + [(6000 + i, prose(300 + i, 12) + " " + shared + " " + prose(400 + i, 12)) for i in range(300)]
+    df = spark.createDataFrame([(i, t, "", "", 0, "", "", "", "") for i, t in data], SCHEMA).repartition(5)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.remove_repeats(df, limit=8).collect()}
+    assert got == brute_repeats(data)
+    # edges have unique neighbours; a split prefix leaves one group for each distinct window
+    texts = pa.RecordBatch.from_pydict({"doc_id": [i for i, _ in data], "part": [0] * len(data), "text": [t for _, t in data]})
+    found = pa.Table.from_batches(substring_dedup._find_anchors([texts])).sort_by("key").to_batches(max_chunksize=7)
+    kept = pa.Table.from_batches(substring_dedup._repeated_anchors(8)(found)).to_pylist()
+    sizes = defaultdict(int)
+    for r in kept:
+        sizes[r["key"]] += 1
+    large = {r["key"] for r in kept if r["over"]}
+    assert large == {k for k, n in sizes.items() if n > 8} and sum(r["over"] for r in kept) == len(large)
+    marks = defaultdict(list)
+    for r in kept:
+        marks[r["doc_id"]].append({"key": r["key"], "loc": r["loc"], "large": r["key"] in large})
+    docs = pa.RecordBatch.from_pydict({"doc_id": list(marks), "part": [0] * len(marks), "text": [dict(data)[d] for d in marks], "marks": list(marks.values())})
+    monkeypatch.setattr(substring_dedup, "SEEN_SEGMENTS", 1)
+    groups = defaultdict(set)
+    rows_ = pa.Table.from_batches(substring_dedup._cut_segments([docs])).to_pylist()
+    for r in rows_:
+        if r["segment"] is not None:
+            groups[r["key"]].add(r["segment"])
+    assert max(map(len, groups.values())) <= 8
+
+
+def test_copies_of_one_window_are_thinned_as_they_are_read(monkeypatch):
+    window = " ".join(f"x{i}" for i in range(20)).encode()
+    batch = pa.RecordBatch.from_pylist([{"key": 1, "doc_id": None if i == 0 else i, "part": 0, "loc": 0, "segment": window, "repeats": 0} for i in range(3000)], schema=substring_dedup._SEGMENT)
+    most, real = [], substring_dedup._repeats
+    monkeypatch.setattr(substring_dedup, "GROUP_WORDS", 400)
+    monkeypatch.setattr(substring_dedup, "_repeats", lambda held: most.append(len(held)) or real(held))
+    got = [r for b in substring_dedup._subtrees([batch]) for r in b.to_pylist()]
+    assert {r["doc_id"] for r in got} == set(range(1, 3000)) and max(most) < 100
+
+
 def brute_components(data, n=3, num=90, den=100):
     sets = {}
     for doc, text in data:
