@@ -7,7 +7,10 @@ pass ``r div blocks``, so no part repeats before all others were taken. A
 source's documents, shuffled by a hash of their id, are laid end to end and cut
 into blocks of equal token counts; a document is taken as often as the blocks
 that cover it. The number of slots is bounded by ``slots`` whatever the corpus;
-the block grows with it. No text is shuffled.
+the block grows with it. A source of fewer than ``FEW_BLOCKS`` such blocks, or of
+fewer slots, would miss its target by chance: it is taken in blocks of one word
+in the same order, whole passes and then a head, so it meets its target to a
+word. No text is shuffled.
 
 Edge cases: null and empty texts have size 0 and are never taken; null sources
 form the last source; an empty table gives an empty result; repeated rows count
@@ -23,6 +26,8 @@ from pyspark.sql import Window as W
 from strandmill.llm.common import running_sum, stage, word_count
 
 SLOTS = 1 << 17
+#: Below so many blocks or slots a source has blocks of one word.
+FEW_BLOCKS = 1024
 WEIGHTS = (5, 2, 1)
 _CELL_BITS = 10
 
@@ -90,9 +95,14 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     known = sizes.join(targets.drop("total"), sizes["source"].eqNullSafe(targets["source"])).select(sizes["*"], "sid", "source_size", "target").withColumn("h", shuffle_key(F.col("doc_id")))
     laid = running_sum(known, ["sid"], ["h", "doc_id", "row_key"], "size", "at", F.substring("h", 1, 2))
     laid = laid.select("row_key", "doc_id", "size", "source", "source_size", "target", "sid", "at")
-    pieces = laid.filter("size > 0").select("row_key", "sid", "at", "size", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block))).alias("block"))
+    # with blocks of one word a rank is a word's place: passes over all words, then the words below the rest
+    words = F.round("target").cast("long")
+    fine = (F.lit(block) > 1) & (F.least(F.col("source_size").cast("double"), F.col("target")) < FEW_BLOCKS * block) & (F.col("size") > 0)
+    rest = F.greatest(F.lit(0), F.least(F.col("size"), words % F.col("source_size") - F.col("at")))
+    laid = laid.withColumn("fine", F.when(fine, F.floor(words / F.col("source_size")) * F.col("size") + rest))
+    pieces = laid.filter("size > 0 AND fine IS NULL").select("row_key", "sid", "at", "size", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block))).alias("block"))
     pieces = pieces.withColumn("part", F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block) - F.greatest("at", F.col("block") * block))
     got = pieces.join(takes, ["sid", "block"]).groupBy("row_key").agg(F.sum(F.col("part") * F.col("takes")).alias("taken"), F.count("*").alias("n_blocks"))
     return laid.join(got, "row_key", "left").select(
-        "doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("n_blocks", F.lit(0)).cast("long").alias("n_blocks"), "row_key"
+        "doc_id", "size", "source", "source_size", "target", F.coalesce("fine", "taken", F.lit(0)).cast("long").alias("taken"), F.coalesce(F.when(F.col("fine") > 0, F.least("fine", "size")), "n_blocks", F.lit(0)).cast("long").alias("n_blocks"), "row_key"
     )

@@ -155,6 +155,22 @@ def test_mixing(spark):
     assert mixing.mix_sources(empty(spark)).count() == 0
 
 
+def test_mixing_meets_small_targets(spark):
+    """Sources far smaller than a block of the schedule, the null source among them."""
+    data = [(i, "w " * 400, "en", f"s{i % 4}", 1, "", "", "", "") for i in range(400)]
+    small = {"a1": 3, "m2": 37, "s2x": 150, "z9": 700, None: 11}
+    for k, (source, n) in enumerate(small.items()):
+        data += [(1000 + 10 * k + j, "w " * (n // 3 + (j < n % 3)), "en", source, 1, "", "", "", "") for j in range(3)]
+    got = mixing.mix_sources(frame(spark, data), slots=256).collect()
+    sizes, taken = Counter(), Counter()
+    for r in got:
+        sizes[r["source"]] += r["size"]
+        taken[r["source"]] += r["taken"]
+        assert 0 <= r["taken"] <= 2 * r["size"]
+    want = brute_targets(sizes)
+    assert all(abs(taken[s] - want[s]) <= 1 for s in sizes)
+
+
 # --- language -----------------------------------------------------------------
 
 
