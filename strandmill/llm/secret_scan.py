@@ -28,6 +28,8 @@ OPAQUE = "[A-Za-z0-9_+/-]{24,}"
 KINDS = ("assign", "access", "hex", "opaque")
 #: Up to so many distinct owners a value counts as owner-specific.
 MAX_OWNERS = 2
+#: And, where repositories take part, up to so many distinct ones.
+MAX_REPOS = 10
 
 
 def any_case(word: str) -> str:
@@ -87,11 +89,12 @@ def ownership(found: DataFrame) -> DataFrame:
     return per_owner.groupBy("value_hash").agg(F.sum("n").alias("n_repos"), F.count("*").alias("n_owners"))
 
 
-def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", max_owners: int = MAX_OWNERS) -> DataFrame:
+def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", max_owners: int = MAX_OWNERS, max_repos: int | None = None) -> DataFrame:
     """One row per input row: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_opaque, n_owner_specific, n_widely_copied, findings.
 
     ``findings`` lists each span with the number of repositories and owners
-    that hold its value.
+    that hold its value. With ``max_repos`` a value that more repositories hold
+    is a copied example too, even inside one owner.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("owner"), F.coalesce(F.col(repo_col).cast("string"), F.lit("")).alias("repo"), candidate_spans(text).alias("cand"))
@@ -100,10 +103,13 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = rows.filter(F.size("cand") > 0).select("row_key", "owner", "repo", F.explode("cand").alias("c"))
     found = found.select("row_key", "owner", "repo", F.col("c.start").alias("start"), F.col("c.kind").alias("kind"), F.col("c.end").alias("end"), F.col("c.hash").alias("value_hash"))
     judged = found.join(ownership(found), "value_hash")
-    judged = judged.filter((F.col("kind") < 3) | (F.col("n_owners") <= max_owners))
-    per_row = judged.groupBy("row_key").agg(F.collect_list(F.struct("start", "kind", "end", "n_repos", "n_owners")).alias("found"))
+    specific = F.col("n_owners") <= max_owners
+    if max_repos is not None:
+        specific = specific & (F.col("n_repos") <= max_repos)
+    judged = judged.withColumn("specific", specific).filter((F.col("kind") < 3) | F.col("specific"))
+    per_row = judged.groupBy("row_key").agg(F.collect_list(F.struct("start", "kind", "end", "n_repos", "n_owners", "specific")).alias("found"))
     out = rows.select("row_key", "doc_id").join(per_row, "row_key", "left")
-    spans = F.coalesce("found", F.array().cast("array<struct<start:int,kind:int,end:int,n_repos:bigint,n_owners:bigint>>"))
+    spans = F.coalesce("found", F.array().cast("array<struct<start:int,kind:int,end:int,n_repos:bigint,n_owners:bigint,specific:boolean>>"))
     out = out.withColumn("findings", F.array_sort(spans)).drop("found")
     count = lambda test: F.size(F.filter("findings", test)).cast("long")
     return out.select(
@@ -112,7 +118,7 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.sha2(_joined(F.filter("findings", lambda s: s["kind"] < 3)), 256).alias("base_sha256"),
         _joined(F.col("findings")).alias("spans"),
         count(lambda s: s["kind"] == 3).alias("n_opaque"),
-        count(lambda s: s["n_owners"] <= max_owners).alias("n_owner_specific"),
-        count(lambda s: s["n_owners"] > max_owners).alias("n_widely_copied"),
+        count(lambda s: s["specific"]).alias("n_owner_specific"),
+        count(lambda s: ~s["specific"]).alias("n_widely_copied"),
         "findings",
     )

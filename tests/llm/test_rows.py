@@ -94,6 +94,15 @@ def test_secrets_ownership(spark):
 # --- sharding -----------------------------------------------------------------
 
 
+def test_secrets_copied_inside_one_owner(spark):
+    copied, live = "Abc123Def456Ghi789Jkl012Mno", "Zyx987Wvu654Tsr321Qpo098Nml"
+    data = [(i, f"see {copied} here", "en", "hot", 1, "", "", "", "") for i in range(40)] + [(100, f"my {live}", "en", "hot", 1, "", "", "", "")]
+    got = {r["doc_id"]: r for r in secret_scan.scan_secrets(frame(spark, data), max_repos=10).collect()}
+    assert all(got[i]["n_opaque"] == got[i]["n_owner_specific"] == 0 for i in range(40))
+    assert got[100]["n_opaque"] == got[100]["n_owner_specific"] == 1
+    assert (got[100]["findings"][0]["n_repos"], got[100]["findings"][0]["n_owners"]) == (1, 1)
+
+
 def test_shards_fit(spark):
     data = [(i, prose(i, 5 + i % 40), "en", "a", 1, "", "", "", "") for i in range(300)] + rows()
     df = frame(spark, data)
