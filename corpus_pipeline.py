@@ -37,8 +37,14 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least doc_id of each linked group."""
+    """Keep the document with the least doc_id of each linked group; where ids repeat or are null, one row, null ids last."""
     release(spark)
+    if not docs.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").isEmpty():
+        rows = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "near-rows")
+        near = jaccard_join.jaccard_components(rows, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
+        first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"]
+        heads = rows.select("doc_id", "_row").join(near, "_row").groupBy("component_id").agg(first.alias("_row"))
+        return rows.join(heads, "_row", "left_semi").select(*docs.columns)
     near = jaccard_join.jaccard_components(docs)
     gone = near.filter("component_id != doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -285,3 +285,19 @@ def test_pipeline(spark):
     assert {r["doc_id"] for r in got} <= heads and all(r["count"] in (1, 2) for r in got)
     last = p.STAGES[-1][1](spark, step, "")
     assert last.filter("NOT lossless").count() == 0 and last.count() == sizes[3]
+
+
+def test_near_copies_go_by_row(spark):
+    import corpus_pipeline as p
+
+    a, b, c, d = (prose(800 + i, 80, 10_000) for i in range(4))
+    near = lambda t, i: f"{t} end{i}"
+    # 5: a near copy of 1 and a clean text; 7: two near copies; null ids: a near copy, two of one kind and a clean text
+    data = [(1, a), (5, near(a, 1)), (5, b), (7, c), (7, near(c, 1)), (None, near(a, 2)), (None, d), (None, near(d, 1))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in data], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    out = p.drop_near_copies(spark, docs, "")
+    assert out.columns == docs.columns
+    got = [(r["doc_id"], r["text"]) for r in out.collect()]
+    assert len(got) == 4 and {(1, a), (5, b)} <= set(got)
+    assert len([t for i, t in got if i == 7 and t.startswith(c)]) == 1
+    assert len([t for i, t in got if i is None and t.startswith(d)]) == 1
