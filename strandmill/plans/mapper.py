@@ -73,7 +73,8 @@ def map_reads(reads: DataFrame, ref_chunks: DataFrame, index: DataFrame, k: int,
 
     ``ref_chunks`` and ``index`` come from :mod:`strandmill.operators.index` with
     the same ``seed`` and ``stride``. Complete for reads of at least
-    (k + 1)(seed + stride - 1) bases and at most the chunk overlap less k.
+    (k + 1)(seed + stride - 1) bases and at most the chunk overlap less k;
+    a longer read raises an error in exhaustive mode.
     """
     if not 0 <= k <= 3:
         raise ValueError(f"k must be 0 to 3, not {k}")
@@ -85,7 +86,8 @@ def map_reads(reads: DataFrame, ref_chunks: DataFrame, index: DataFrame, k: int,
 
         hits = seeded_hits(reads, ref_chunks, index, k, seed, stride)
     else:
-        both = oriented(reads, n_policy).filter(F.length("oseq") <= OVERLAP - k)
+        fits = F.when(F.length("oseq") > OVERLAP - k, F.raise_error(F.lit("read longer than the chunk overlap less k"))).otherwise(F.col("oseq"))
+        both = oriented(reads, n_policy).withColumn("oseq", fits)
         hits = score_windows(candidate_starts(piece_seeds(both, k, seed, stride), index, k), both, ref_chunks, k)
     return reads.join(top_two(hits, names, tolerance), "read_id", "left")
 

@@ -128,3 +128,11 @@ def test_arguments(spark):
     for bad in ({"k": 4}, {"k": 1, "mode": "fast"}):
         with pytest.raises(ValueError):
             mapper.map_reads(rd, ch, ch, **bad)
+
+
+def test_reads_beyond_the_bound_raise(spark):
+    ref = spark.createDataFrame([(0, "c", "ACGTTGCA" * 100)], "contig_id long, name string, seq string")
+    reads = spark.createDataFrame([(1, "ACGTTGCA" * 40)], "read_id long, seq string")
+    chunks = index.chunks(ref)
+    with pytest.raises(Exception, match="longer than the chunk overlap"):
+        mapper.map_reads(reads, chunks, index.kmer_index(chunks), 1).collect()
