@@ -12,11 +12,6 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(documents(spark, sf_dir)).drop("findings")
 
 
-def op1_secret_scans_by_repo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The verdict by repositories and owners, with both counts of each span in ``findings``; op1_secret_scans goes by owners, as its SQL does."""
-    return secret_scan.scan_secrets(documents(spark, sf_dir), max_repos=secret_scan.MAX_REPOS)
-
-
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "class_size")
 
@@ -63,7 +58,6 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_secret_scans": op1_secret_scans,
-    "op1_secret_scans_by_repo": op1_secret_scans_by_repo,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_sharding": op3_sharding,
     "op4_quality_rules": op4_quality_rules,
@@ -100,14 +94,14 @@ opaque AS (SELECT * FROM ({_hits(3, _S.OPAQUE, 0, 1)}) o
   WHERE regexp_matches(val, '[0-9]') AND regexp_matches(val, '[a-z]') AND regexp_matches(val, '[A-Z]')
   AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = o.doc_id AND b.s < o.s + length(o.hit) AND o.s < b.s + length(b.hit))),
 found AS (SELECT doc_id, owner, kind, s, s + length(hit) AS e, val FROM (SELECT * FROM base UNION ALL SELECT * FROM opaque)),
-own AS (SELECT val, count(DISTINCT owner) AS n_owners FROM found GROUP BY val),
-judged AS (SELECT f.*, n_owners, (['assign', 'access', 'hex', 'opaque'])[kind + 1] || ':' || s || ':' || e AS span FROM found f JOIN own USING (val) WHERE kind < 3 OR n_owners <= {_S.MAX_OWNERS}),
+own AS (SELECT val, count(DISTINCT owner) AS n_owners, count(DISTINCT owner || chr(0) || coalesce(CAST(doc_id AS VARCHAR), '')) AS n_repos FROM found GROUP BY val),
+judged AS (SELECT f.*, n_owners, n_repos, n_owners <= {_S.MAX_OWNERS} AND n_repos <= {_S.MAX_REPOS} AS specific, (['assign', 'access', 'hex', 'opaque'])[kind + 1] || ':' || s || ':' || e AS span FROM found f JOIN own USING (val) WHERE kind < 3 OR (n_owners <= {_S.MAX_OWNERS} AND n_repos <= {_S.MAX_REPOS})),
 per AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
   coalesce(string_agg(span, ',' ORDER BY s, kind) FILTER (kind < 3), '') AS b, string_agg(span, ',' ORDER BY s, kind) AS spans,
-  count(*) FILTER (kind = 3) AS n_opaque, count(*) FILTER (n_owners <= {_S.MAX_OWNERS}) AS n_owner_specific, count(*) FILTER (n_owners > {_S.MAX_OWNERS}) AS n_widely_copied
+  count(*) FILTER (kind = 3) AS n_opaque, count(*) FILTER (specific) AS n_owner_specific, count(*) FILTER (NOT specific) AS n_widely_copied, string_agg(n_owners || '/' || n_repos, ',' ORDER BY s, kind) AS held_by
   FROM judged GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256,
-  coalesce(spans, '') AS spans, coalesce(n_opaque, 0) AS n_opaque, coalesce(n_owner_specific, 0) AS n_owner_specific, coalesce(n_widely_copied, 0) AS n_widely_copied
+  coalesce(spans, '') AS spans, coalesce(n_opaque, 0) AS n_opaque, coalesce(n_owner_specific, 0) AS n_owner_specific, coalesce(n_widely_copied, 0) AS n_widely_copied, coalesce(held_by, '') AS held_by
 FROM documents d LEFT JOIN per USING (doc_id)"""
 
 OP3_SQL = f"""
