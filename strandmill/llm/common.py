@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import re
 import tempfile
-import time
 import uuid
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 #: Text slices handed to one numpy pass; a longer single text forms its own slice.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 #: Word: a maximal run without ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -24,29 +23,56 @@ _RUN = uuid.uuid4().hex[:12]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
+    """Folder that driver and executors share: the checkpoint directory of the session.
 
-    Only where that setting is absent (tests, local mode) a temporary folder
-    of this machine is made and registered instead.
+    That is ``spark.checkpoint.dir`` or what ``setCheckpointDir`` was given. Where
+    neither is set a temporary folder of this machine is made, in local mode only;
+    on a cluster, where executors would not see it, that is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
-        base = getattr(spark.sparkContext, "_strandmill_shared", None)
-        if base is None:
-            base = "file://" + tempfile.mkdtemp(prefix="strandmill-")
-            spark.sparkContext._strandmill_shared = base
-            spark.sparkContext.setCheckpointDir(base)
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="strandmill-")
+        context.setCheckpointDir(base)
     # with its scheme, so that Spark and Python open the same store
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
-    full = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    path = context._jvm.org.apache.hadoop.fs.Path(base)
+    full = path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toString()
     return re.sub("^file:/(?!/)", "file:///", full).rstrip("/")
 
 
+class Scratch:
+    """Tables written on the way to results; :meth:`drop` deletes them once those results are written.
+
+    As a context it takes in every table staged inside its block, whichever operator
+    stages it; tables of other blocks, and those staged outside any, stay.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        self.before = _scratch.set(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _scratch.reset(self.before)
+
+    def drop(self) -> None:
+        while self.paths:
+            _remove(self.spark, self.paths.pop())
+
+
+_scratch: ContextVar[Scratch | None] = ContextVar("scratch", default=None)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder, removed when the process ends."""
-    root = f"{shared_dir(spark)}/strandmill-{_RUN}"
-    path = f"{root}/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path under the shared folder: removed with the open :class:`Scratch`, and when the process ends."""
+    path = f"{shared_dir(spark)}/strandmill-{_RUN}/{name}-{uuid.uuid4().hex[:12]}"
     atexit.register(_remove, spark, path)
+    if (held := _scratch.get()) is not None:
+        held.paths.append(path)
     return path
 
 
@@ -59,39 +85,36 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-_staged: list[str] = []
+#: Spark drops the shuffle files of a query when it ends, not when the driver next collects garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stage(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and reread it: lineage ends here,
-    a lost executor costs no recomputation, and nothing is computed twice.
-    ``keep`` exempts the table from :func:`release`."""
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and reread it: lineage ends here, a lost
+    executor costs no recomputation, nothing is computed twice, and the shuffles behind it
+    go as soon as it is written."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    if not keep:
-        _staged.append(path)
     schema = df.schema
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables staged so far, once the results built on them are written."""
-    while _staged:
-        _remove(spark, _staged.pop())
-    free_shuffles(spark)
-
+#: Bytes of one Arrow batch between the JVM and a Python worker; both hold a batch or two at once.
+BATCH_BYTES = 8 << 20
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished, staged steps.
 
-    Adaptive plans let go of their shuffles only in a second collection, once
-    the first has been worked through.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session sends Arrow batches of at most ``BATCH_BYTES`` from now on, unless it sets a size of its own."""
+    key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    if conf.get(key) == "67108864b":  # Spark's default
+        conf.set(key, f"{BATCH_BYTES}b")
+    return df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

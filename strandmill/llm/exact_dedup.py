@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandmill.llm.common import stage, text_slices
+from strandmill.llm.common import bounded_batches, stage, text_slices
 from strandmill.llm.textscan import LOWER, mix
 
 CUT_BITS, LEAST, GREATEST = 11, 256, 16384
@@ -88,6 +88,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     Returns one row per input row: doc_id, keep_id, group_size, kept,
     text_sha256, n_chunks, and ``row_key``, unique for each row.
     """
+    df = bounded_batches(df)
     recipes = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_recipes, _SCHEMA)
     recipes = stage(recipes.withColumn("row_key", F.monotonically_increasing_id()), "recipes")
     clash = chunk_dictionary(recipes).filter(~F.col("verified")).limit(1).count()

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from strandmill.llm.common import free_shuffles, only_repeated, stage, text_slices, unique_rows
+from strandmill.llm.common import bounded_batches, only_repeated, stage, text_slices, unique_rows
 from strandmill.llm.textscan import LOWER, gram_hash, mix, span_hash, word_spans
 
 NUM, DEN, SHINGLE = 90, 100, 3
@@ -334,6 +334,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ``component_id`` is the least doc_id that links of similarity >= num/den
     reach; ``class_size`` the number of rows with the same set.
     """
+    df = bounded_batches(df)
     spark = df.sparkSession
     rows = unique_rows(df, id_col, text_col)
     prints = stage(rows.mapInArrow(_fingerprints(shingle), "doc_id long, part int, n_shingles long, fa long, fb long"), "prints")
@@ -354,11 +355,9 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     on = rows["doc_id"].eqNullSafe(reps["rid"]) & (rows["part"] == reps["rpart"])
     signed = rows.join(reps, on).select("cid", "text").mapInArrow(_sign(shingle, num, den, chosen), "sig long, cid long, n long")
     near = stage(signed.repartition("sig").sortWithinPartitions("sig").mapInArrow(only_repeated, signed.schema), "candidates")
-    free_shuffles(spark)
     needed = near.select("cid").distinct().join(reps, "cid")
     on = rows["doc_id"].eqNullSafe(needed["rid"]) & (rows["part"] == needed["rpart"])
     sets = stage(rows.join(needed, on).select("cid", "text").mapInArrow(_sets(shingle), "cid long, tokens binary"), "sets")
-    free_shuffles(spark)
 
     # 1. in each group of a signature, all against the member that shares most signatures with most sets
     weight = near.repartition("sig").sortWithinPartitions("sig").mapInArrow(_sized, "cid long, others long").groupBy("cid").agg(F.sum("others").alias("weight"))
@@ -367,7 +366,6 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     a, b = sets.select(F.col("cid").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("cid").alias("b"), F.col("tokens").alias("y"))
     links = stage(pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(_verified(num, den), "a long, b long"), "links")
     comp = components(links)
-    free_shuffles(spark)
     # 2. groups of a signature that are not one component yet: their sets, once each, in blocks of bounded size
     seen = near.join(comp, near["cid"] == comp["node"], "left").select("sig", "cid", "n", F.coalesce("comp", "cid").alias("comp"))
     torn = seen.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("cid").alias("head")).filter("lo != hi")
@@ -375,7 +373,6 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     if not left.isEmpty():
         links = stage(links.unionByName(_residual(left, sets, num, den)), "links")
         comp = components(links)
-        free_shuffles(spark)
     linked = classes.join(comp, classes["cid"] == comp["node"], "left").select("n_shingles", "fa", "fb", "least", "class_size", F.coalesce("comp", "cid").alias("comp"))
     heads = linked.groupBy("comp").agg(F.min("least").alias("component_id"), F.sum("class_size").alias("rows")).filter("rows > 1")
     special = stage(linked.join(heads, "comp").select("n_shingles", "fa", "fb", "component_id", "class_size"), "linked")

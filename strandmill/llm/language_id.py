@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandmill.llm.common import text_slices
+from strandmill.llm.common import bounded_batches, text_slices
 
 PER_LANG, BUCKET_BITS, PENALTY, SMOOTH = 1500, 16, 12.0, 0.3
 #: Script ranges by first code point of each block group; 0 stands for any other.
@@ -121,6 +121,7 @@ def fit(df: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col:
     so the sample is the same in every run. Trigram counts are summed by the
     executors; what reaches the driver is bounded by languages times buckets.
     """
+    df = bounded_batches(df)
     known = df.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(sizes)
@@ -269,6 +270,7 @@ def _predictor(model: Model, penalty: float, with_spans: bool):
 
 def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", penalty: float = PENALTY, with_spans: bool = False) -> DataFrame:
     """One row per input row: doc_id, held_out, lang_pred, score, n_spans and, if asked, spans (code points)."""
+    df = bounded_batches(df)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
     schema = "doc_id long, held_out boolean, lang_pred string, score double, n_spans long"
     return rows.mapInArrow(_predictor(model, penalty, with_spans), schema + (", spans array<struct<start: long, end: long, lang: string>>" if with_spans else ""))
@@ -276,6 +278,7 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 def keep_identified(df: DataFrame, model: Model, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", penalty: float = PENALTY) -> DataFrame:
     """The rows of ``df``, all columns unchanged, whose language is known with a score of at least ``least``."""
+    df = bounded_batches(df)
     predict = _predictor(model, penalty, False)
     columns = df.columns
     doc, text = columns.index(id_col), columns.index(text_col)

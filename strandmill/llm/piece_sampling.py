@@ -27,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandmill.llm.common import text_slices
+from strandmill.llm.common import bounded_batches, text_slices
 from strandmill.llm.textscan import mix, span_hash
 
-LONG_UNIT, SLICE, SHARPNESS = 64, 2 << 20, 1.0
+LONG_UNIT, SHARPNESS = 64, 1.0
 _MARK = "▁"
 _BLANK = 0x20
 
@@ -244,7 +244,7 @@ def _sampler(path: str, sharpness: float, with_ids: bool):
         lat = lattice(path, sharpness)
         for batch in batches:
             keys = batch.column(1).to_numpy()
-            for lo, hi, data, offs in text_slices(batch.column(2), SLICE):
+            for lo, hi, data, offs in text_slices(batch.column(2)):
                 ids, at = segment(lat, data, offs, keys[lo:hi])
                 raw, low, listed = data.tobytes(), ids.astype("<u4"), ids.tolist()
                 crc, sha, same = [], [], []
@@ -273,10 +273,12 @@ def _joiner(path: str):
 
 def encode_sampled(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", sharpness: float = SHARPNESS, with_ids: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_pieces, ids_crc32, decoded_sha256, lossless and, if asked, ids."""
+    df = bounded_batches(df)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col).cast("string")).alias("key"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_sampler(model_path, sharpness, with_ids), "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string, lossless boolean" + (", ids array<int>" if with_ids else ""))
 
 
 def decode_ids(df: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """Texts behind lists of ids: doc_id, text."""
+    df = bounded_batches(df)
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(_joiner(model_path), "doc_id long, text string")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandmill.llm.common import text_slices
+from strandmill.llm.common import bounded_batches, text_slices
 from strandmill.llm.textscan import LOWER, SPACE, gram_hash, mix, span_hash, word_spans
 
 LEAST_WORDS, WINDOW, MOST_REPEATED = 20, 8, 30
@@ -139,5 +139,6 @@ def _judged(max_loss: float, with_text: bool):
 
 def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_loss: float = MAX_LOSS, with_text: bool = False) -> DataFrame:
     """One row per input row with its counts, verdict and the digest (or text) of what the line rules leave."""
+    df = bounded_batches(df)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_judged(max_loss, with_text), _SCHEMA + (", clean_text string" if with_text else ""))

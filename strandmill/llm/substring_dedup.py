@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandmill.llm.common import free_shuffles, only_repeated, stage, text_slices, unique_rows
+from strandmill.llm.common import bounded_batches, only_repeated, stage, text_slices, unique_rows
 from strandmill.llm.textscan import gram_hash, span_hash, word_spans
 
 WINDOW, PREFIX = 20, 10
@@ -289,7 +289,6 @@ def repeated_windows(rows: DataFrame, limit: int = GROUP_SEGMENTS) -> DataFrame:
     spark = rows.sparkSession
     found = rows.mapInArrow(_find_anchors, "key long, doc_id long, part int, loc long")
     found = stage(found.repartition("key").sortWithinPartitions("key").mapInArrow(_repeated_anchors(limit), "key long, doc_id long, part int, loc long, over boolean"), "anchors")
-    free_shuffles(spark)
     # one small row for each large prefix, so that the join costs no shuffle
     large = stage(found.filter("over").select(F.col("key").alias("large_key")), "large-prefixes")
     found = found.join(large, found["key"] == large["large_key"], "left")
@@ -299,12 +298,12 @@ def repeated_windows(rows: DataFrame, limit: int = GROUP_SEGMENTS) -> DataFrame:
     cut = near.mapInArrow(_cut_segments, "key long, doc_id long, part int, loc long, segment binary, repeats long")
     marks = cut.repartition("key").sortWithinPartitions("key", "doc_id", "part", "loc").mapInArrow(_subtrees, "doc_id long, part int, start long, n long")
     marks = stage(marks, "repeats")
-    free_shuffles(spark)
     return marks
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = GROUP_SEGMENTS) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept_sha256, kept_text."""
+    df = bounded_batches(df)
     rows = unique_rows(df, id_col, text_col)
     marks = repeated_windows(rows, limit).groupBy("doc_id", "part").agg(F.collect_list(F.struct("start", "n")).alias("marks"))
     on = rows["doc_id"].eqNullSafe(marks["doc_id"]) & (rows["part"] == marks["part"])

@@ -17,18 +17,11 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_pow = np.ones(1, dtype=np.uint64)
-_inv = np.ones(1, dtype=np.uint64)
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse modulo 2**64, grown on demand."""
-    global _pow, _inv
-    if len(_pow) < n:
-        size = max(n, 1 << 20)
-        _pow = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, _P, np.uint64)]))
-        _inv = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, _PINV, np.uint64)]))
-    return _pow, _inv
+#: Bytes hashed at once, whatever the length of a slice.
+BLOCK = 1 << 18
+#: Powers of the hash base and of its inverse modulo 2**64.
+_pow = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(BLOCK, _P, np.uint64)]))
+_inv = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(BLOCK, _PINV, np.uint64)]))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -42,14 +35,34 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span; equal bytes give equal hashes wherever they stand."""
-    if len(starts) == 0:
-        return np.zeros(0, np.uint64)
-    pw, inv = _powers(len(data) + 1)
+def _sums(data: np.ndarray) -> np.ndarray:
+    """Running sums of the byte values times the powers of the base, over at most BLOCK bytes."""
     acc = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(TABLE[data] * pw[: len(data)], out=acc[1:])
-    h = (acc[ends] - acc[starts]) * inv[starts]
+    np.cumsum(TABLE[data] * _pow[: len(data)], out=acc[1:])
+    return acc
+
+
+def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each of ascending byte spans; equal bytes give equal hashes wherever they stand.
+
+    Works in blocks of bytes, so a text of any length takes 16 bytes of memory for each span beyond its own.
+    """
+    h = np.zeros(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        base = int(starts[i])
+        j = int(np.searchsorted(ends, base + BLOCK, side="right"))
+        if j > i:
+            acc = _sums(data[base : int(ends[j - 1])])
+            lo = starts[i:j] - base
+            h[i:j] = (acc[ends[i:j] - base] - acc[lo]) * _inv[lo]
+        else:  # one span above a block
+            j, total = i + 1, 0
+            for at in range(base, int(ends[i]), BLOCK):
+                part = int(_sums(data[at : min(at + BLOCK, int(ends[i]))])[-1])
+                total += part * pow(_P, at - base, 1 << 64)
+            h[i] = total % (1 << 64)
+        i = j
     return mix(h + (ends - starts).astype(np.uint64) * _M(0xD6E8FEB86659FD93))
 
 
@@ -70,11 +83,6 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def repeated(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Row number of each element, for rows with ``counts`` elements."""
-    return np.repeat(np.arange(len(counts)), counts)
-
-
 def gram_hash(h: np.ndarray, k: int) -> np.ndarray:
     """Hash of each run of k consecutive word hashes (len(h)-k+1 entries)."""
     m = len(h) - k + 1

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from strandmill.llm.common import shared_path, stage
+from strandmill.llm.common import bounded_batches, shared_path, stage
 
 SEQ, ROWS_PER_BATCH, BUCKET_BYTES = 1024, 256, 64 << 20
 _CACHE_WORDS = 600_000
@@ -189,6 +189,7 @@ def _write(root: str, dtype: str, seq: int):
 
 def write_token_files(df: DataFrame, tokenizer_path: str, root: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", seq: int = SEQ, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Write ids in ascending doc_id order; returns the list of files: bucket, path, n_docs, n_tokens, base (ids before the file)."""
+    df = bounded_batches(df)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, min(10_000, -(-size // bucket_bytes)))

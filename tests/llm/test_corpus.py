@@ -278,7 +278,8 @@ def test_pipeline(spark):
         top[t] = max(i, top.get(t, -1))
     kept = {i: next(t for d, t in data if d == i) for i in top.values()}
     assert sizes[1] == len(kept)
-    comp = brute_components(list(kept.items()))
+    comp = brute_components(list(kept.items()), p.SHINGLE, p.NUM, p.DEN)
+    assert (p.SHINGLE, p.NUM, p.DEN) == (5, 80, 100)
     heads = {i for i, (_, c) in comp.items() if c == i}
     assert sizes[2] == len(heads)
     got = step.groupBy("doc_id").count().collect()
@@ -301,3 +302,53 @@ def test_near_copies_go_by_row(spark):
     assert len(got) == 4 and {(1, a), (5, b)} <= set(got)
     assert len([t for i, t in got if i == 7 and t.startswith(c)]) == 1
     assert len([t for i, t in got if i is None and t.startswith(d)]) == 1
+
+
+def test_stages_take_repeated_null_and_clashing_rows(spark):
+    import corpus_pipeline as p
+
+    a, b = prose(900, 80, 10_000), prose(901, 80, 10_000)
+    clash = ["_id", "_sha", "_text_sha", "_copies", "_copy", "_row", "row", "gone", "kept", "size", "component_id", "times", "name", "copy"]
+    columns = ["doc_id", "text", "lang", "source", "n_chars", *clash]
+    # unrelated b under the id of a near copy of a; equal texts under one and under null ids
+    data = [(1, a), (2, f"{a} tail"), (2, b), (3, b.upper()), (None, a), (4, f"{a} tail"), (4, f"{a} tail")]
+    rows_ = [(i, t, "en", "s", len(t), *[f"{c}{n}" for c in clash]) for n, (i, t) in enumerate(data)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in clash)
+    docs = spark.createDataFrame(rows_, schema).repartition(3)
+    step, got = docs, []
+    for _, f in p.STAGES[:-1]:
+        step = f(spark, step, "").cache()
+        assert step.columns == columns
+        got.append(sorted((str(r["doc_id"]), r["text"]) for r in step.collect()))
+    assert len(got[0]) == 7
+    assert got[1] == sorted([("1", a), ("3", b.upper()), ("4", f"{a} tail")])  # of equal texts the largest id, once
+    assert got[2] == sorted([("1", a), ("3", b.upper())])
+    assert set(got[3]) <= set(got[2])
+    assert p.STAGES[-1][1](spark, step, "").filter("lossless").count() == len(got[3])
+    nothing = spark.createDataFrame([], schema)
+    for _, f in p.STAGES[:-1]:
+        nothing = f(spark, nothing, "").cache()
+        assert nothing.columns == columns and nothing.count() == 0
+    assert p.STAGES[-1][1](spark, nothing, "").count() == 0
+
+
+def test_a_stage_leaves_other_results_alone(spark):
+    import corpus_pipeline as p
+
+    df = frame(spark).select("doc_id", "text", "lang", "source", "n_chars")
+    held = jaccard_join.jaccard_components(df)
+    for _, f in p.STAGES[:3]:
+        df = f(spark, df, "").cache()
+        df.count()
+    assert held.count() == len(rows())
+
+
+def test_shared_dir_needs_a_shared_folder_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    import pytest
+
+    none = SimpleNamespace(get=lambda key, default=None: default)
+    cluster = SimpleNamespace(conf=none, sparkContext=SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(cluster)
