@@ -13,12 +13,17 @@ chance among that band's sets. A set with a segment too small to say anything
 (empty, or one token under v = 1) signs again under an independent partition, so
 no signature is shared merely for being empty.
 
-Equal sets are one class from the start. Sets that share a signature are compared
-exactly, first with the most central of their group. Groups whose members are by
-then all connected are done. The others' sets are sent once to blocks of bounded
-size, where overlaps are counted on bit sets and only links that join components
-come out; pairs of sets are never rows. No link that would join two components is
-lost.
+Equal sets are one class from the start. The most central set of each signature's
+group is compared exactly with the others; groups that are one component then are
+done. In the rest, sets are compared by *parity sketches*: bit ``h mod B`` of a sketch
+is the parity of the tokens that hash there, so two sketches never differ in more bits
+than their sets in tokens, and a pair whose sketches differ in more than H bits is no
+link. Pairs that pass tie sets into families. A family's sets are cut into blocks of
+bounded size, where overlaps are counted on bit sets, and only links that join
+components come out. A component that fills blocks of its own is never compared with
+itself. Sizes, centres and members of groups are aggregates and joins, large groups
+are dealt over units of work, and pairs of sets are rows only with a group's centre. No
+link that would join two components is lost.
 
 Edge cases: null texts, and texts without words, have an empty set, link with
 nothing and are their own component; texts below n words have one shingle, the
@@ -30,21 +35,22 @@ columns are not read.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from strandmill.llm.common import bounded_batches, only_repeated, stage, text_slices, unique_rows
+from strandmill.llm.common import bounded_batches, only_repeated, running_sum, stage, text_slices, unique_rows
 from strandmill.llm.textscan import LOWER, gram_hash, mix, span_hash, word_spans
 
 NUM, DEN, SHINGLE = 90, 100, 3
-LEVELS, CHANCE, PAIR_COST = 4, 0.25, 8.0
-BLOCK_TOKENS = 1 << 18
+LEVELS, PAIR_COST = 4, 8.0
+#: Estimated share of unrelated pairs that have a given word's successor in common; a shingle of n words is common with the n-th power. It moves cost, never results.
+WORD_CHANCE = 0.3
+BLOCK_TOKENS, UNIT_ROWS = 1 << 17, 2048
 _U = np.uint64
 
 
@@ -86,14 +92,14 @@ def differ(num: int, den: int, band: np.ndarray, starts: np.ndarray) -> np.ndarr
     return (s + den * s // num) * (den - num) // (den + num)
 
 
-def one_deletions(h: int, size: float, sets: float) -> int:
+def one_deletions(h: int, size: float, sets: float, chance_of_token: float = WORD_CHANCE**SHINGLE) -> int:
     """How many segments of a scheme get v = 1: the cheapest split of h + 1 by expected cost for each set."""
     best, pick = math.inf, 0
     for q in range(0, (h + 1) // 2 + 1):
         m = h + 1 - q
         each = size / m
         written = (m - q) + q * (1 + each)
-        chance = sets * ((m - q) * CHANCE**each + q * (1 + each) * CHANCE ** max(each - 1, 0))
+        chance = sets * ((m - q) * chance_of_token**each + q * (1 + each) * chance_of_token ** max(each - 1, 0))
         if written + PAIR_COST * chance < best:
             best, pick = written + PAIR_COST * chance, q
     return pick
@@ -171,44 +177,6 @@ def _sign(n: int, num: int, den: int, chosen: dict[int, int]):
     return run
 
 
-def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (sig, cid, n) sorted by sig: how many others share each signature, row by row."""
-    for sig, cid, n in _groups(batches):
-        yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array(np.full(len(cid), len(cid) - 1))], ["cid", "others"])
-
-
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """(key, column, ...) of each run of the first column, over a sorted stream."""
-    held: list[tuple] = []
-    for batch in batches:
-        cols = [c.to_numpy() for c in batch.columns]
-        key = cols[0]
-        cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            if hi == lo:
-                continue
-            if held and held[0][0] != key[lo]:
-                yield held[0][0], *(np.concatenate([h[1][k] for h in held]) for k in range(len(cols) - 1))
-                held = []
-            held.append((int(key[lo]), [c[lo:hi] for c in cols[1:]]))
-    if held:
-        yield held[0][0], *(np.concatenate([h[1][k] for h in held]) for k in range(len(held[0][1])))
-
-
-def _hub_pairs(num: int, den: int):
-    """Groups of one signature (sig, cid, n, weight) to pairs of their most central member with each other one of fitting size."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, cid, n, weight in _groups(batches):
-            hub = np.lexsort((cid, -weight))[0]
-            ok = (cid != cid[hub]) & (den * np.minimum(n, n[hub]) >= num * np.maximum(n, n[hub]))
-            if ok.any():
-                b = cid[ok]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(b, cid[hub])), pa.array(np.maximum(b, cid[hub]))], ["a", "b"])
-
-    return run
-
-
 def block_links(cid: np.ndarray, comp: np.ndarray, side: np.ndarray, tokens: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
     """Links that join components among the sets of one or two blocks (``side`` 0 and 1), by exact overlaps.
 
@@ -242,34 +210,102 @@ def block_links(cid: np.ndarray, comp: np.ndarray, side: np.ndarray, tokens: lis
     return out
 
 
-def _block_links(num: int, den: int):
+def sketch(tokens: np.ndarray) -> bytes:
+    """Parities of a set's tokens over at least twice as many bits as it has tokens, a power of two of 64 or more."""
+    width = 1 << max(6, int(2 * len(tokens) - 1).bit_length())
+    bit = (mix(tokens ^ _U(0x8EBC6AF09C88C6E3)) & _U(width - 1)).astype(np.int64)
+    return np.packbits((np.bincount(bit, minlength=width) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of 64-bit words, the wider ones folded to the width of the narrowest."""
+    width = min(map(len, sketches)) // 8
+    rows = np.zeros((len(sketches), width), np.uint64)
+    for i, raw in enumerate(sketches):
+        rows[i] = np.bitwise_xor.reduce(np.frombuffer(raw, np.uint64).reshape(-1, width), axis=0)
+    return rows
+
+
+def _may_link(num: int, den: int):
+    """Of pairs (a, b, n of a, n of b, sketch of a, sketch of b) those whose sketches allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            x, y = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            apart = np.array([int(np.bitwise_count(np.bitwise_xor(*folded([p, q]))).sum()) for p, q in zip(x, y, strict=True)], np.int64)
+            keep = pa.array(apart * (den + num) <= n * (den - num))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+
+    return run
+
+
+def ties(cid: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.ndarray, sketches: list[bytes], num: int, den: int) -> list[tuple[int, int]]:
+    """Pairs that sketches allow, between sets of different components, as few as tie together all sets that such pairs connect."""
+    rows, label, two, out = folded(sketches), np.arange(len(cid)), len(np.unique(side)) > 1, []
+    for i in range(len(cid)):
+        late = np.flatnonzero((side != side[i]) if two else (np.arange(len(cid)) > i))
+        if two and side[i]:
+            break
+        ask = late[(comp[late] != comp[i]) & (label[late] != label[i]) & (den * np.minimum(n[late], n[i]) >= num * np.maximum(n[late], n[i]))]
+        if len(ask) == 0:
+            continue
+        apart = np.bitwise_count(rows[ask] ^ rows[i]).sum(1).astype(np.int64)
+        for k in ask[apart * (den + num) <= (n[ask] + n[i]) * (den - num)].tolist():
+            if label[k] != label[i]:
+                label[label == label[k]] = label[i]
+                out.append((min(int(cid[i]), int(cid[k])), max(int(cid[i]), int(cid[k]))))
+    return out
+
+
+def _by_unit(rows_of: Callable):
+    """Body over rows sorted by their first column: pairs (a, b) that ``rows_of`` finds among the rows of each unit."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
+        key, held, found = None, [], []
 
-        def links() -> pa.RecordBatch:
-            cid, comp, side, raw = zip(*held, strict=True)
-            found = block_links(np.array(cid), np.array(comp), np.array(side), [np.frombuffer(r, np.uint64) for r in raw], num, den)
+        def pairs() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         for batch in batches:
-            for g, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (g, i, j) != key:
-                    if held:
-                        yield links()
-                    key, held = (g, i, j), []
+            for unit, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if unit != key:
+                    if len(held) > 1:
+                        found += rows_of(held)
+                    key, held = unit, []
                 held.append(row)
-        if held:
-            yield links()
+            yield pairs()
+            found = []
+        if len(held) > 1:
+            found = rows_of(held)
+        yield pairs()
 
     return run
 
 
+def _ties(num: int, den: int):
+    def rows_of(held: list[list]) -> list[tuple[int, int]]:
+        cid, n, comp, side, raw = zip(*held, strict=True)
+        return ties(np.array(cid), np.array(n), np.array(comp), np.array(side), list(raw), num, den)
+
+    return _by_unit(rows_of)
+
+
+def _block_links(num: int, den: int):
+    def rows_of(held: list[list]) -> list[tuple[int, int]]:
+        cid, comp, side, raw = zip(*held, strict=True)
+        return block_links(np.array(cid), np.array(comp), np.array(side), [np.frombuffer(r, np.uint64) for r in raw], num, den)
+
+    return _by_unit(rows_of)
+
+
 def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offs in text_slices(batch.column(1)):
                 token, at = shingle_sets(data, offs, n)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([token[at[i] : at[i + 1]].tobytes() for i in range(hi - lo)], pa.binary())], ["cid", "tokens"])
+                each = [token[at[i] : at[i + 1]] for i in range(hi - lo)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([len(t) for t in each], pa.int64()), pa.array([sketch(t) for t in each], pa.binary()), pa.array([t.tobytes() for t in each], pa.binary())], ["cid", "n", "sketch", "tokens"])
 
     return run
 
@@ -305,27 +341,69 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def _residual(left: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links among members (cid, head, n, comp) of torn groups.
+def _pivot(groups: DataFrame, sets: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Links of the most central set of each group (sig, cid, n) to the others, and the groups without it.
 
-    Groups that share members form a family; a family's sets, in order of size, are
-    cut into blocks of about BLOCK_TOKENS, and each pair of blocks whose sizes can
-    link at all is one unit of work. Sets are sent once for each such pair, pairs of
-    sets never.
+    The most central set shares most signatures with most sets.
+    """
+    size = groups.groupBy("sig").agg(F.count("*").alias("size"))
+    weight = stage(groups.join(stage(size, "group-sizes"), "sig").groupBy("cid").agg(F.sum(F.col("size") - 1).alias("weight")), "weights")
+    hub = F.max(F.struct("weight", (-F.col("cid")).alias("order"), "cid", "n")).alias("h")
+    hubs = groups.join(weight, "cid").groupBy("sig").agg(hub).select("sig", F.col("h.cid").alias("hub"), F.col("h.n").alias("hub_n"))
+    met = groups.join(stage(hubs, "hubs"), "sig").filter("cid != hub")
+    fits = F.least("n", "hub_n") * den >= F.greatest("n", "hub_n") * num
+    pairs = met.filter(fits).select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b")).distinct()
+    seen = [sets.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab"]
+    pairs = stage(pairs.join(seen[0], "a").join(seen[1], "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_may_link(num, den), "a long, b long"), "pairs")
+    whole = [sets.select(F.col("cid").alias(x), F.col("tokens").alias(f"t{x}")) for x in "ab"]
+    links = pairs.join(whole[0], "a").join(whole[1], "b").select("a", "b", "ta", "tb").mapInArrow(_verified(num, den), "a long, b long")
+    return stage(links, "links"), met.select("sig", "cid", "n")
+
+
+def _families(groups: DataFrame, comp: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Sets (cid, n, now, family) of the groups that sketches tie to a set of another component.
+
+    A group of more than UNIT_ROWS sets is dealt over blocks by a hash, each pair of
+    blocks one unit.
     """
-    family = components(left.select(F.col("cid").alias("a"), F.col("head").alias("b")))
-    member = left.select("cid", "n", F.col("comp").alias("now")).distinct()
-    member = member.join(family.select(F.col("node").alias("cid"), F.col("comp").alias("family")), "cid", "left").select("cid", "n", "now", F.coalesce("family", "cid").alias("family"))
-    before = W.partitionBy("family").orderBy("n", "cid").rowsBetween(W.unboundedPreceding, -1)
-    member = stage(member.withColumn("block", F.floor(F.coalesce(F.sum(F.greatest("n", F.lit(128))).over(before), F.lit(0)) / BLOCK_TOKENS)), "members")
-    span = member.groupBy("family", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    p, q = (span.select("family", *[F.col(c).alias(f"{c}{k}") for c in ("block", "lo", "hi")]) for k in "ij")
-    # sizes grow with the block: only near neighbours can link
-    near = p.join(q, "family").filter((F.col("blocki") <= F.col("blockj")) & (F.col("hii") * den >= F.col("loj") * num)).select("family", F.col("blocki").alias("i"), F.col("blockj").alias("j"))
-    first = member.join(near.withColumn("block", F.col("i")), ["family", "block"]).withColumn("side", F.lit(0))
-    second = member.join(near.filter("i != j").withColumn("block", F.col("j")), ["family", "block"]).withColumn("side", F.lit(1))
-    work = first.unionByName(second).select("family", "i", "j", "cid", "now", "side").join(sets, "cid").select("family", "i", "j", "cid", "now", "side", "tokens")
-    return work.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "side").mapInArrow(_block_links(num, den), "a long, b long")
+    groups = groups.join(comp, groups["cid"] == comp["node"], "left").select("sig", "cid", "n", F.coalesce("comp", "cid").alias("now"))
+    torn = groups.groupBy("sig").agg(F.count("*").alias("size"), F.min("now").alias("lo"), F.max("now").alias("hi")).filter("lo != hi")
+    torn = stage(torn.select("sig", F.ceil(F.col("size") * 2 / UNIT_ROWS).cast("int").alias("blocks")).withColumn("blocks", F.when(F.col("blocks") <= 2, 1).otherwise(F.col("blocks"))), "torn")
+    left = groups.join(torn, "sig").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    unit = F.struct("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    left = left.withColumn("other", other).select(unit.alias("unit"), "cid", "n", "now", (F.col("block") > F.col("other")).cast("int").alias("side"))
+    left = left.join(sets.select("cid", "sketch"), "cid").select(F.xxhash64("unit").alias("deal"), "unit", "cid", "n", "now", "side", "sketch")
+    left = left.repartition("deal").sortWithinPartitions("deal", "unit", "side").drop("deal")
+    tied = components(stage(left.select(F.to_json("unit").alias("unit"), "cid", "n", "now", "side", "sketch").mapInArrow(_ties(num, den), "a long, b long"), "ties"))
+    member = stage(tied.select(F.col("node").alias("cid"), F.col("comp").alias("family")), "tied")
+    member = member.join(sets.select("cid", "n"), "cid").join(comp, F.col("cid") == comp["node"], "left")
+    return member.select("cid", "n", F.coalesce(comp["comp"], "cid").alias("now"), "family")
+
+
+def _units(member: DataFrame, num: int, den: int) -> DataFrame:
+    """Work on families (cid, n, now, family): unit, cid, now, side.
+
+    A family's sets, in order of size, are cut into blocks of about BLOCK_TOKENS, and
+    each pair of blocks whose sizes can link at all is one unit. A component of more
+    tokens than a block has blocks of its own, and no unit holds two of these.
+    """
+    member = member.withColumn("cost", F.greatest("n", F.lit(128)))
+    large = stage(member.groupBy("family", "now").agg(F.sum("cost").alias("all")).filter(F.col("all") >= BLOCK_TOKENS).select("family", "now", F.col("now").alias("own")), "large")
+    member = member.join(large, ["family", "now"], "left").withColumn("home", F.coalesce("own", F.lit(-1)))
+    # rows of one size are dealt over cells by a hash, so that no cell holds a large part of a family
+    member = stage(member.select("cid", "n", "now", "family", "home", "cost", F.pmod(F.xxhash64("cid"), F.lit(64)).alias("deal")), "members")
+    member = running_sum(member, ["family", "home"], ["n", "deal", "cid"], "cost", "at", F.col("n") * 64 + F.col("deal"))
+    member = stage(member.select("cid", "n", "now", "family", "home", F.floor(F.col("at") / BLOCK_TOKENS).alias("block")), "blocks")
+    span = member.groupBy("family", "home", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    p, q = (span.select("family", *[F.col(c).alias(f"{c}{k}") for c in ("home", "block", "lo", "hi")]) for k in "ij")
+    order = F.struct("homei", "blocki") <= F.struct("homej", "blockj")
+    apart = (F.col("homei") != F.col("homej")) | (F.col("homei") == -1)
+    near = (F.col("hii") * den >= F.col("loj") * num) & (F.col("hij") * den >= F.col("loi") * num)
+    units = stage(p.join(q, "family").filter(order & apart & near).withColumn("unit", F.monotonically_increasing_id()), "units")
+    first = units.select("unit", "family", F.col("homei").alias("home"), F.col("blocki").alias("block"), F.lit(0).alias("side"))
+    second = units.filter("homei != homej OR blocki != blockj").select("unit", "family", F.col("homej").alias("home"), F.col("blockj").alias("block"), F.lit(1).alias("side"))
+    return member.join(first.unionByName(second), ["family", "home", "block"]).select("unit", "cid", "now", "side")
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -335,7 +413,6 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     reach; ``class_size`` the number of rows with the same set.
     """
     df = bounded_batches(df)
-    spark = df.sparkSession
     rows = unique_rows(df, id_col, text_col)
     prints = stage(rows.mapInArrow(_fingerprints(shingle), "doc_id long, part int, n_shingles long, fa long, fb long"), "prints")
     classes = prints.filter("n_shingles > 0").groupBy("n_shingles", "fa", "fb").agg(F.min(F.struct("doc_id", "part")).alias("rep"), F.min("doc_id").alias("least"), F.count("*").alias("class_size"))
@@ -348,7 +425,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     for r in hist:
         b = int(np.searchsorted(starts, r["size"], side="right")) - 1
         held[b] = held.get(b, 0) + r["sets"]
-    chosen = {b: one_deletions(int(differ(num, den, np.array([b]), starts)[0]), float(starts[b]), sets) for b, sets in held.items()}
+    chosen = {b: one_deletions(int(differ(num, den, np.array([b]), starts)[0]), float(starts[b]), sets, WORD_CHANCE**shingle) for b, sets in held.items()}
     chosen = {b: q for b, q in chosen.items() if q}
 
     reps = classes.select("cid", F.col("rep.doc_id").alias("rid"), F.col("rep.part").alias("rpart"))
@@ -357,22 +434,15 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     near = stage(signed.repartition("sig").sortWithinPartitions("sig").mapInArrow(only_repeated, signed.schema), "candidates")
     needed = near.select("cid").distinct().join(reps, "cid")
     on = rows["doc_id"].eqNullSafe(needed["rid"]) & (rows["part"] == needed["rpart"])
-    sets = stage(rows.join(needed, on).select("cid", "text").mapInArrow(_sets(shingle), "cid long, tokens binary"), "sets")
-
-    # 1. in each group of a signature, all against the member that shares most signatures with most sets
-    weight = near.repartition("sig").sortWithinPartitions("sig").mapInArrow(_sized, "cid long, others long").groupBy("cid").agg(F.sum("others").alias("weight"))
-    weighed = near.join(weight, "cid").select("sig", "cid", "n", "weight")
-    pairs = weighed.repartition("sig").sortWithinPartitions("sig").mapInArrow(_hub_pairs(num, den), "a long, b long").distinct()
-    a, b = sets.select(F.col("cid").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("cid").alias("b"), F.col("tokens").alias("y"))
-    links = stage(pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(_verified(num, den), "a long, b long"), "links")
+    sets = stage(rows.join(needed, on).select("cid", "text").mapInArrow(_sets(shingle), "cid long, n long, sketch binary, tokens binary"), "sets")
+
+    links, groups = _pivot(near, sets, num, den)
     comp = components(links)
-    # 2. groups of a signature that are not one component yet: their sets, once each, in blocks of bounded size
-    seen = near.join(comp, near["cid"] == comp["node"], "left").select("sig", "cid", "n", F.coalesce("comp", "cid").alias("comp"))
-    torn = seen.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("cid").alias("head")).filter("lo != hi")
-    left = stage(seen.join(torn.select("sig", "head"), "sig").select("cid", "head", "n", "comp").distinct(), "torn")
-    if not left.isEmpty():
-        links = stage(links.unionByName(_residual(left, sets, num, den)), "links")
-        comp = components(links)
+    member = stage(_families(groups, comp, sets, num, den), "families")
+    if not member.isEmpty():
+        work = _units(member, num, den).join(sets, "cid").select("unit", "cid", "now", "side", "tokens")
+        found = work.repartition("unit").sortWithinPartitions("unit", "side").mapInArrow(_block_links(num, den), "a long, b long")
+        comp = components(links.unionByName(stage(found, "links")))
     linked = classes.join(comp, classes["cid"] == comp["node"], "left").select("n_shingles", "fa", "fb", "least", "class_size", F.coalesce("comp", "cid").alias("comp"))
     heads = linked.groupBy("comp").agg(F.min("least").alias("component_id"), F.sum("class_size").alias("rows")).filter("rows > 1")
     special = stage(linked.join(heads, "comp").select("n_shingles", "fa", "fb", "component_id", "class_size"), "linked")

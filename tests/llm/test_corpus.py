@@ -243,8 +243,48 @@ def test_signatures_are_complete():
         assert found[0] & found[1], (trial, n, cut, add)
 
 
+def test_sketches_never_hide_a_link():
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        n = int(rng.integers(1, 300))
+        x = np.unique(rng.integers(1, 1 << 62, n).astype(np.uint64))
+        y = np.unique(np.concatenate([x[int(rng.integers(0, max(1, n // 4))) :], rng.integers(1, 1 << 62, int(rng.integers(0, n // 4 + 2))).astype(np.uint64)]))
+        a, b = jaccard_join.folded([jaccard_join.sketch(x), jaccard_join.sketch(y)])
+        assert np.bitwise_count(a ^ b).sum() <= len(np.setxor1d(x, y))
+
+
+def test_ties_connect_what_sketches_allow():
+    rng = np.random.default_rng(9)
+    base = np.unique(rng.integers(1, 1 << 62, 200).astype(np.uint64))
+    sets = [base[rng.random(len(base)) > 0.04] for _ in range(12)] + [np.unique(rng.integers(1, 1 << 62, 190).astype(np.uint64)) for _ in range(5)]
+    n, cid, comp = np.array([len(s) for s in sets]), np.arange(17) + 100, np.array([0, 0, 0, *range(3, 17)])
+    raw = [jaccard_join.sketch(s) for s in sets]
+    for side in (np.zeros(17, int), np.array([0] * 8 + [1] * 9)):
+        got = jaccard_join.ties(cid, n, comp, side, raw, 90, 100)
+        assert len(got) < 17 and {x for p in got for x in p} <= set(range(100, 112))
+        root = {x: x for x in range(100, 112)}
+        for a, b in got:
+            root = {x: root[a] if r == root[b] else r for x, r in root.items()}
+        linked = {frozenset((i, j)) for i in range(12) for j in range(i) if comp[i] != comp[j] and (side[i] != side[j] or not side.any()) and 10 * len(np.intersect1d(sets[i], sets[j])) >= 9 * len(np.union1d(sets[i], sets[j]))}
+        assert linked and all(root[100 + min(p)] == root[100 + max(p)] for p in linked)
+
+
+def test_large_groups_and_families_are_dealt_over_units(spark, monkeypatch):
+    """Every cut made small: the same components, and units in proportion to what is not yet joined."""
+    monkeypatch.setattr(jaccard_join, "UNIT_ROWS", 6)
+    monkeypatch.setattr(jaccard_join, "BLOCK_TOKENS", 600)
+    data = near_data()
+    df = spark.createDataFrame([(i, t, "", "", 0, "", "", "", "") for i, t in data], SCHEMA).repartition(4)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(df).collect()}
+    assert got == brute_components(data)
+    # a family of 400 sets of one component and 6 strays: blocks of the component never meet each other
+    member = spark.createDataFrame([(i, 150, 0 if i < 400 else i, 0) for i in range(406)], "cid long, n long, now long, family long")
+    units = jaccard_join._units(member, 90, 100).groupBy("unit").count().count()
+    assert units <= 400 * 150 // 600 * 3
+
+
 def test_cost_moves_to_deletions_as_sets_grow():
-    few, many = jaccard_join.one_deletions(1, 12.0, 10), jaccard_join.one_deletions(1, 12.0, 1e8)
+    few, many = jaccard_join.one_deletions(1, 12.0, 10, 0.25), jaccard_join.one_deletions(1, 12.0, 1e8, 0.25)
     assert few == 0 and many == 1
 
 
