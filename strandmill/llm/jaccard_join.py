@@ -9,9 +9,10 @@ by v (0: the segment's subset itself; 1: the subset or any one-deletion of it)
 and sum(v + 1) = H + 1 above the largest difference H, some segment of a linked
 pair is within its v, so both share a signature. How many segments get v = 1 is
 chosen for each scheme by cost: signatures to write against pairs expected by
-chance among that band's sets. A set with a segment too small to say anything
-(empty, or one token under v = 1) signs again under an independent partition, so
-no signature is shared merely for being empty.
+chance among that band's sets. Empty segments say nothing (one token under v = 1 says
+as much as v = 0), so a scheme has some segments to spare; a set whose others do not sum
+to H + 1 signs again under an independent partition, and no signature is shared merely
+for being empty.
 
 Equal sets are one class from the start. The most central set of each signature's
 group is compared exactly with the others; groups that are one component then are
@@ -92,11 +93,25 @@ def differ(num: int, den: int, band: np.ndarray, starts: np.ndarray) -> np.ndarr
     return (s + den * s // num) * (den - num) // (den + num)
 
 
+@cache
+def segments(h: int, q: int, size: float) -> int:
+    """Segments of a scheme, q of them with v = 1: as many as most sets of ``size`` tokens need to reach h + 1 without their empty ones."""
+    m = h + 1 - q
+    while m < 2 * (h + 1):
+        none = math.exp(-size / m)
+        one = size / m * none
+        strength = (m - q) * (1 - none) + q * (2 - 2 * none - one)
+        if strength - math.sqrt(m * none + q * one) >= h + 1:
+            return m
+        m += 1
+    return h + 1 - q
+
+
 def one_deletions(h: int, size: float, sets: float, chance_of_token: float = WORD_CHANCE**SHINGLE) -> int:
     """How many segments of a scheme get v = 1: the cheapest split of h + 1 by expected cost for each set."""
     best, pick = math.inf, 0
     for q in range(0, (h + 1) // 2 + 1):
-        m = h + 1 - q
+        m = segments(h, q, size)
         each = size / m
         written = (m - q) + q * (1 + each)
         chance = sets * ((m - q) * chance_of_token**each + q * (1 + each) * chance_of_token ** max(each - 1, 0))
@@ -105,9 +120,10 @@ def one_deletions(h: int, size: float, sets: float, chance_of_token: float = WOR
     return pick
 
 
-def signatures(token: np.ndarray, at: np.ndarray, scheme: np.ndarray, h: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of sets token[at[i]:at[i+1]] under their scheme: (signature, set number)."""
+def signatures(token: np.ndarray, at: np.ndarray, scheme: np.ndarray, h: np.ndarray, q: np.ndarray, parts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of sets token[at[i]:at[i+1]] under their scheme of ``parts`` segments (h + 1 - q at least): (signature, set number)."""
     sig_out, set_out = [], []
+    parts = h + 1 - q if parts is None else parts
     live = np.flatnonzero(h > 0)
     value = mix(token ^ _U(0xA0761D6478BD642F))
     for level in range(LEVELS):
@@ -116,7 +132,7 @@ def signatures(token: np.ndarray, at: np.ndarray, scheme: np.ndarray, h: np.ndar
         size = at[live + 1] - at[live]
         row = np.repeat(np.arange(len(live)), size)
         index = np.repeat(at[live] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        m = (h[live] + 1 - q[live]).astype(np.int64)
+        m = parts[live].astype(np.int64)
         base = np.cumsum(m) - m
         draw = mix(token[index] + _U((0x9E3779B97F4A7C15 * (level + 1)) & (1 << 64) - 1)) >> _U(32)
         seg = ((draw * m[row].astype(np.uint64)) >> _U(32)).astype(np.int64)
@@ -136,11 +152,14 @@ def signatures(token: np.ndarray, at: np.ndarray, scheme: np.ndarray, h: np.ndar
         f = flat[drop]
         sig_out.append(mix(sums[f] - value[index[drop]] + salt[f]) ^ (count[f] - 1).astype(np.uint64))
         set_out.append(live[row[drop]])
-        weak = np.where(single, count <= 1, count == 0)
+        # a pair without a shared signature differs by this much at least
+        strength = np.bincount(owner, np.where(single, np.minimum(count, 2), full), len(live))
+        weak = strength < h[live] + 1
         if level == LEVELS - 1:  # the least set of all partitions: shares what is left
-            sig_out.append(mix(salt[weak]))
-            set_out.append(live[owner[weak]])
-        live = live[np.unique(owner[weak])]
+            bare = np.where(single, count <= 1, count == 0) & weak[owner]
+            sig_out.append(mix(salt[bare]))
+            set_out.append(live[owner[bare]])
+        live = live[weak]
     if not sig_out:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     return np.concatenate(sig_out), np.concatenate(set_out)
@@ -171,7 +190,8 @@ def _sign(n: int, num: int, den: int, chosen: dict[int, int]):
                     scheme = band - below
                     h = np.where((size > 0) & (scheme >= 0), differ(num, den, np.maximum(scheme, 0), starts), 0)
                     q = np.array([min(chosen.get(s, 0), (x + 1) // 2) for s, x in zip(scheme.tolist(), h.tolist(), strict=True)])
-                    sig, who = signatures(token, at, scheme, h, q)
+                    parts = np.array([segments(int(x), int(y), float(z)) for x, y, z in zip(h, q, starts[np.maximum(scheme, 0)], strict=True)])
+                    sig, who = signatures(token, at, scheme, h, q, parts)
                     yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(cid[lo + who]), pa.array(size[who])], ["sig", "cid", "n"])
 
     return run

@@ -243,6 +243,36 @@ def test_signatures_are_complete():
         assert found[0] & found[1], (trial, n, cut, add)
 
 
+def test_signatures_with_segments_to_spare_are_complete():
+    """Pairs at the bound itself, at 0.8, under the schemes that the join uses."""
+    rng = np.random.default_rng(12)
+    starts = jaccard_join.band_starts(80, 100, 4096)
+    shared = 0
+    for trial in range(500):
+        n = int(rng.integers(5, 400))
+        base = rng.integers(1, 1 << 62, n).astype(np.uint64)
+        cut = int(rng.integers(0, n // 4 + 1))
+        a, b = np.unique(base), np.unique(np.concatenate([base[cut:], rng.integers(1, 1 << 62, max(0, n // 5 - cut)).astype(np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        if 100 * both < 80 * (len(a) + len(b) - both):
+            continue
+        if len(a) == len(b) == both:
+            continue
+        shared += 1
+        found = []
+        for s in (a, b):
+            band = int(np.searchsorted(starts, len(s), side="right")) - 1
+            mine = set()
+            for scheme in (band, band - 1):
+                h = int(jaccard_join.differ(80, 100, np.array([max(scheme, 0)]), starts)[0]) if scheme >= 0 else 0
+                q = min(trial % 3 * h // 4, (h + 1) // 2)
+                parts = jaccard_join.segments(h, q, float(starts[max(scheme, 0)]))
+                mine |= set(jaccard_join.signatures(s, np.array([0, len(s)]), np.array([scheme]), np.array([h]), np.array([q]), np.array([parts]))[0].tolist())
+            found.append(mine)
+        assert found[0] & found[1], (trial, n, cut)
+    assert shared > 100
+
+
 def test_sketches_never_hide_a_link():
     rng = np.random.default_rng(8)
     for _ in range(300):
