@@ -96,6 +96,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     ident = F.struct("fps", "check_a", "check_b") if clash else F.col("recipe")
     rows = recipes.select("doc_id", "row_key", "text_sha256", F.size("fps").cast("long").alias("n_chunks"), ident.alias("ident"))
     groups = rows.groupBy("ident").agg(F.max(F.struct("doc_id", "row_key")).alias("top"), F.count("*").alias("group_size")).filter("group_size > 1")
+    groups = stage(groups, "groups")  # so that the join reads both sides as they lie and can split a large group
     out = rows.join(groups, "ident", "left")
     return out.select(
         "doc_id",
