@@ -25,7 +25,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.remove_repeats(documents(spark, sf_dir)).drop("kept_text")
+    return substring_dedup.remove_repeats(documents(spark, sf_dir), with_text=False)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -103,62 +103,68 @@ def test_substring_dedup(spark, monkeypatch):
     assert substring_dedup.remove_repeats(frame(spark)).count() == len(rows())
 
 
-def test_oversized_groups_split_by_longer_prefixes(monkeypatch):
+def test_subtrees_name_every_repeat():
     rng = np.random.default_rng(2)
-    segs = []
-    for i in range(60):
-        words = [b"x%d" % w for w in rng.integers(0, 2, 24)]
-        segs.append((i, 0, (0 << 8) | 4, b" ".join(words)))
-    segs += [(100 + i, 0, s[2], s[3]) for i, s in enumerate(segs[:30])]
-    whole = sorted(substring_dedup._repeats(segs))
-    monkeypatch.setattr(substring_dedup, "GROUP_WORDS", 100)
-    assert sorted(substring_dedup._repeats(segs)) == whole
-    seen, count = set(), 0
-    for _, _, _, s in segs:
-        w = s.split(b" ")
-        for k in range(5):
-            key = tuple(w[k : k + 20])
-            count += key in seen
-            seen.add(key)
-    assert sum(r[3] for r in whole) == count
-
-
-def test_large_prefixes_are_split_before_the_shuffle(spark, monkeypatch):
-    shared = prose(71, 45)
+    texts = [[b"x%d" % w for w in rng.integers(0, 3, 40)] for _ in range(60)]
+    texts += [t[5:] + [b"y"] for t in texts[:30]] + [[b"z"] * 45]
+    docs = [b" ".join(t).decode() for t in texts]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(docs))), "part": [0] * len(docs), "text": docs})
+    rows_ = []
+    for b in substring_dedup._find_anchors([batch]):
+        for r in b.to_pylist():
+            start, count = r["loc"] >> 8, (r["loc"] & 15) + 1
+            rows_.append((r["doc_id"], 0, r["loc"], b" ".join(texts[r["doc_id"]][start : start + count + 19])))
+    rng.shuffle(rows_)
+    rows_ = [(int(r[0]), int(r[1]), int(r[2]), r[3]) for r in rows_]
+    got = {(d, s + i) for d, _, s, n in substring_dedup.subtree_repeats(rows_) for i in range(n)}
+    seen, want = set(), set()
+    for d, t in enumerate(texts):
+        for i in range(len(t) - 19):
+            w = tuple(t[i : i + 20])
+            if w in seen:
+                want.add((d, i))
+            seen.add(w)
+    assert got == want and len(want) > 300
+
+
+def hot_data():
+    """One passage between many neighbours, copies of one window, and a hot first word."""
+    shared, window = prose(71, 45), prose(72, 20)
     data = repeat_data() + [(6000 + i, prose(300 + i, 12) + " " + shared + " " + prose(400 + i, 12)) for i in range(300)]
+    data += [(7000 + i, f"u{i} {window} v{i}") for i in range(60)]
+    return data + [(8000 + i, "the " + " ".join(f"the t{i} q{j}" for j in range(20))) for i in range(30)]
+
+
+def test_groups_fit_before_any_task_takes_them(spark, monkeypatch):
+    data = hot_data()
     df = spark.createDataFrame([(i, t, "", "", 0, "", "", "", "") for i, t in data], SCHEMA).repartition(5)
+    monkeypatch.setattr(substring_dedup, "SEEN_SEGMENTS", 1)  # no task passes a copy over
+    groups, real = [], substring_dedup.partition_by_prefix
+
+    def spy(segments, limit):
+        settled, copies = real(segments, limit)
+        groups.append((settled.groupBy("key").count().agg({"count": "max"}).first()[0], segments.groupBy("key").count().agg({"count": "max"}).first()[0], copies.count(), copies.select("segment").distinct().count()))
+        return settled, copies
+
+    monkeypatch.setattr(substring_dedup, "partition_by_prefix", spy)
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.remove_repeats(df, limit=8).collect()}
     assert got == brute_repeats(data)
-    # edges have unique neighbours; a split prefix leaves one group for each distinct window
-    texts = pa.RecordBatch.from_pydict({"doc_id": [i for i, _ in data], "part": [0] * len(data), "text": [t for _, t in data]})
-    found = pa.Table.from_batches(substring_dedup._find_anchors([texts])).sort_by("key").to_batches(max_chunksize=7)
-    kept = pa.Table.from_batches(substring_dedup._repeated_anchors(8)(found)).to_pylist()
-    sizes = defaultdict(int)
-    for r in kept:
-        sizes[r["key"]] += 1
-    large = {r["key"] for r in kept if r["over"]}
-    assert large == {k for k, n in sizes.items() if n > 8} and sum(r["over"] for r in kept) == len(large)
-    marks = defaultdict(list)
-    for r in kept:
-        marks[r["doc_id"]].append({"key": r["key"], "loc": r["loc"], "large": r["key"] in large})
-    docs = pa.RecordBatch.from_pydict({"doc_id": list(marks), "part": [0] * len(marks), "text": [dict(data)[d] for d in marks], "marks": list(marks.values())})
-    monkeypatch.setattr(substring_dedup, "SEEN_SEGMENTS", 1)
-    groups = defaultdict(set)
-    rows_ = pa.Table.from_batches(substring_dedup._cut_segments([docs])).to_pylist()
-    for r in rows_:
-        if r["segment"] is not None:
-            groups[r["key"]].add(r["segment"])
-    assert max(map(len, groups.values())) <= 8
-
-
-def test_copies_of_one_window_are_thinned_as_they_are_read(monkeypatch):
-    window = " ".join(f"x{i}" for i in range(20)).encode()
-    batch = pa.RecordBatch.from_pylist([{"key": 1, "doc_id": None if i == 0 else i, "part": 0, "loc": 0, "segment": window, "repeats": 0} for i in range(3000)], schema=substring_dedup._SEGMENT)
-    most, real = [], substring_dedup._repeats
-    monkeypatch.setattr(substring_dedup, "GROUP_WORDS", 400)
-    monkeypatch.setattr(substring_dedup, "_repeats", lambda held: most.append(len(held)) or real(held))
-    got = [r for b in substring_dedup._subtrees([batch]) for r in b.to_pylist()]
-    assert {r["doc_id"] for r in got} == set(range(1, 3000)) and max(most) < 100
+    largest, before, n_copies, n_windows = groups[0]
+    assert largest <= 8 < 100 < before and n_copies > 8 * n_windows
+
+
+def test_known_prefixes_are_spread_before_the_shuffle():
+    met = substring_dedup.Met(16)
+    rng = np.random.default_rng(4)
+    told, seen = 0, defaultdict(int)
+    for _ in range(300):
+        key = np.where(rng.random(20) < 0.5, np.uint64(7), rng.integers(1, 60, 20).astype(np.uint64))
+        known = met.twice(key)
+        assert all(seen[k] >= 2 for k in key[known].tolist())  # never claims what it has not met twice
+        told += int(known[key == 7].sum())
+        for k in key.tolist():
+            seen[k] += 1
+    assert told > 0.9 * seen[7]
 
 
 def brute_components(data, n=3, num=90, den=100):
