@@ -345,7 +345,7 @@ def _verified(num: int, den: int):
 
 
 def components(links: DataFrame) -> DataFrame:
-    """Connected components of links (a, b): node, comp (least node), by alternating large-star and small-star steps on staged tables."""
+    """Connected components of links (a, b): node, comp (least node) of every node but the least, by alternating large-star and small-star steps on staged tables."""
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct()
     before = None
     while True:
@@ -396,7 +396,8 @@ def _families(groups: DataFrame, comp: DataFrame, sets: DataFrame, num: int, den
     left = left.join(sets.select("cid", "sketch"), "cid").select(F.xxhash64("unit").alias("deal"), "unit", "cid", "n", "now", "side", "sketch")
     left = left.repartition("deal").sortWithinPartitions("deal", "unit", "side").drop("deal")
     tied = components(stage(left.select(F.to_json("unit").alias("unit"), "cid", "n", "now", "side", "sketch").mapInArrow(_ties(num, den), "a long, b long"), "ties"))
-    member = stage(tied.select(F.col("node").alias("cid"), F.col("comp").alias("family")), "tied")
+    # a family is named by its least member, which is no node of its own
+    member = stage(tied.select(F.explode(F.array("node", "comp")).alias("cid"), F.col("comp").alias("family")).distinct(), "tied")
     member = member.join(sets.select("cid", "n"), "cid").join(comp, F.col("cid") == comp["node"], "left")
     return member.select("cid", "n", F.coalesce(comp["comp"], "cid").alias("now"), "family")
 
