@@ -92,9 +92,11 @@ class Met:
         self.key, self.n, self.mask = np.zeros(size, np.uint64), np.zeros(size, np.uint8), np.uint64(size - 1)
 
     def twice(self, key: np.ndarray) -> np.ndarray:
-        """Which keys were met at least twice in earlier calls; then counts these."""
+        """Which keys were met at least twice before, in earlier calls or earlier in this one; then counts these."""
         slot = (key & self.mask).astype(np.int64)
         known = (self.key[slot] == key) & (self.n[slot] >= 2)
+        order = np.argsort(key, kind="stable")
+        known[order[2:]] |= key[order[2:]] == key[order[:-2]]
         new, count = np.unique(key[~known], return_counts=True)
         slot = (new & self.mask).astype(np.int64)
         same = self.key[slot] == new
