@@ -102,7 +102,7 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-def _encode(path: str, end_id: int, cuts: list[int]):
+def _encode(path: str, end_id: int, cuts: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         end = np.array([end_id], enc.dtype).tobytes()
@@ -110,9 +110,9 @@ def _encode(path: str, end_id: int, cuts: list[int]):
             for lo in range(0, len(batch), 512):
                 part = batch.slice(lo, 512)
                 ids = [(enc.encode(t) if t else b"") + end for t in part.column(1).to_pylist()]
-                # bucket 0: null ids and ids up to the first cut; bucket i: ids above cut i
+                # bucket 0: null ids and ids below the first cut; bucket i: ids from cut i on
                 least = part.column(0).fill_null(-(1 << 63)).to_numpy()
-                bucket = pa.array(np.searchsorted(np.array(cuts, np.int64), least, side="left"), pa.int32())
+                bucket = pa.array(np.searchsorted(cuts, least, side="right"), pa.int32())
                 yield pa.RecordBatch.from_arrays([bucket, part.column(0), pa.array(ids, pa.binary())], ["bucket", "doc_id", "ids"])
 
     return run
@@ -187,14 +187,31 @@ def _write(root: str, dtype: str, seq: int):
     return run
 
 
+def bucket_cuts(rows: DataFrame, bucket_bytes: int) -> np.ndarray:
+    """First doc_id of each bucket but the first: buckets in order of doc_id of about ``bucket_bytes`` of text each.
+
+    Sizes alone are sorted and summed, by ranges of doc_id and then over the ranges.
+    The cuts are eight bytes for each bucket, whatever the number of rows.
+    """
+    cost = F.coalesce(F.octet_length("text"), F.lit(0)) + 16
+    sizes = rows.select("doc_id", cost.cast("long").alias("cost")).repartitionByRange(F.col("doc_id").asc_nulls_first())
+    sizes = stage(sizes.withColumn("range", F.spark_partition_id()), "text-sizes")
+    total = sizes.groupBy("range").agg(F.sum("cost").alias("all"), F.min("doc_id").alias("least"))
+    before = W.orderBy(F.col("least").asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
+    base = stage(total.select(F.col("range").alias("of"), F.coalesce(F.sum("all").over(before), F.lit(0)).alias("base")), "ranges")
+    inner = W.partitionBy("range").orderBy(F.col("doc_id").asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
+    at = F.coalesce(F.sum("cost").over(inner), F.lit(0))
+    placed = sizes.withColumn("at", at).join(base, F.col("range") == F.col("of"))
+    bucket = F.floor((F.col("at") + F.col("base")) / bucket_bytes)
+    first = placed.groupBy(bucket.alias("bucket")).agg(F.min("doc_id").alias("doc_id")).filter("bucket > 0").select("doc_id").dropna()
+    return np.unique(first.toArrow().column(0).to_numpy().astype(np.int64))
+
+
 def write_token_files(df: DataFrame, tokenizer_path: str, root: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", seq: int = SEQ, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Write ids in ascending doc_id order; returns the list of files: bucket, path, n_docs, n_tokens, base (ids before the file)."""
     df = bounded_batches(df)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, min(10_000, -(-size // bucket_bytes)))
-    cuts = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n)).first()[0] or [] if n > 1 else []
-    cuts = sorted({int(c) for c in cuts})
+    cuts = bucket_cuts(rows, bucket_bytes)
     enc_type = encoder(tokenizer_path).dtype.str
     coded = rows.mapInArrow(_encode(tokenizer_path, end_id, cuts), "bucket int, doc_id long, ids binary")
     dealt = coded.repartitionById(len(cuts) + 1, F.col("bucket")).sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "ids")
@@ -244,7 +261,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_token_files(files: DataFrame) -> DataFrame:
     """One row per document, read back from the files: doc_id, start, n_tokens, ids_crc32."""
-    n = max(1, min(1000, files.count()))
+    n = max(1, min(100_000, files.count()))
     return files.select("path", "base").repartition(n).mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
