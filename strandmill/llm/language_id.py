@@ -31,14 +31,14 @@ from strandmill.llm.common import bounded_batches, text_slices
 
 PER_LANG, BUCKET_BITS, PENALTY, SMOOTH = 1500, 16, 12.0, 0.3
 #: Script ranges by first code point of each block group; 0 stands for any other.
-SCRIPTS = ((0x41, 1), (0x250, 0), (0x370, 2), (0x400, 3), (0x530, 4), (0x590, 5), (0x600, 6), (0x700, 0), (0x900, 7), (0x980, 8), (0xA00, 9), (0xE00, 10), (0xE80, 0), (0x10A0, 11), (0x1100, 12), (0x1200, 0), (0x1E00, 1), (0x1F00, 2), (0x2000, 0), (0x3040, 13), (0x3100, 0), (0x3400, 14), (0xA000, 0), (0xAC00, 12), (0xD7B0, 0), (0xF900, 14), (0xFB00, 0), (0x20000, 14), (0x32000, 0))
+SCRIPTS = ((0x41, 1), (0x250, 0), (0x370, 2), (0x400, 3), (0x530, 4), (0x590, 5), (0x600, 6), (0x700, 0), (0x900, 7), (0x980, 8), (0xA00, 9), (0xE00, 10), (0xE80, 0), (0x10A0, 11), (0x1100, 12), (0x1200, 0), (0x1E00, 1), (0x1F00, 2), (0x2000, 0), (0x3040, 13), (0x3100, 0), (0x3400, 14), (0xA000, 0), (0xAC00, 12), (0xD7B0, 0), (0xF900, 14), (0xFB00, 0), (0x20000, 14), (0x323B0, 0))
 N_SCRIPTS = 15
 
 
 @cache
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each code point: lower case (0 for what is no letter), is a letter, script."""
-    n = 0x32000
+    n = 0x32400  # beyond the last letter
     letter = np.fromiter((chr(c).isalpha() for c in range(n)), bool, n)
     lower = np.zeros(n, np.uint32)
     for c in np.flatnonzero(letter).tolist():

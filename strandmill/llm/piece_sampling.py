@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from strandmill.llm.common import bounded_batches, text_slices
 from strandmill.llm.textscan import mix, span_hash
 
-LONG_UNIT, SHARPNESS = 64, 1.0
+LONG_UNIT, BLOCK, SHARPNESS = 64, 1 << 14, 1.0
 _MARK = "▁"
 _BLANK = 0x20
 
@@ -123,30 +123,40 @@ def uniform(seed: np.ndarray, pos: np.ndarray) -> np.ndarray:
 
 
 def _sample_long(lat: Lattice, unit: np.ndarray, seed: int, base: int) -> list[tuple[int, int]]:
-    """Segmentation of one long unit as (start, piece); ``base``: its byte position in the text."""
-    one = np.array([0]), np.array([len(unit)])
-    fr, to, pid = lat.edges(unit, *one)
-    into: list[list[tuple[int, int, float]]] = [[] for _ in range(len(unit) + 1)]
-    for f, t, p in zip(fr.tolist(), to.tolist(), pid.tolist(), strict=True):
-        into[t].append((f, p, math.log(lat.weight[p])))
-    alpha = [-math.inf] * (len(unit) + 1)
+    """Segmentation of one long unit as (start, piece); ``base``: its byte position in the text.
+
+    Edges stay packed and are unpacked a block of positions at a time, so memory is
+    about 200 bytes for each byte of the unit.
+    """
+    n = len(unit)
+    fr, to, pid = lat.edges(unit, np.array([0]), np.array([n]))
+    order = np.lexsort((pid, fr, to))
+    bounds = np.searchsorted(to[order], np.arange(n + 2))
+    fr, pid = fr[order].astype(np.int32), pid[order].astype(np.int32)
+    log = np.log(lat.weight, where=lat.weight > 0, out=np.full(len(lat.weight), -math.inf))
+    alpha = [-math.inf] * (n + 1)
     alpha[0] = 0.0
-    for t in range(1, len(unit) + 1):
-        terms = [alpha[f] + w for f, _, w in into[t]]
-        top = max(terms, default=-math.inf)
-        if top > -math.inf:
-            alpha[t] = top + math.log(sum(math.exp(x - top) for x in terms))
-    out, t = [], len(unit)
-    draws = uniform(np.full(len(unit) + 1, seed, np.uint64), base + np.arange(len(unit) + 1)).tolist()
+    for block in range(1, n + 1, BLOCK):
+        last = min(n + 1, block + BLOCK)
+        lo = int(bounds[block])
+        f, w, cut = fr[lo : bounds[last]].tolist(), log[pid[lo : bounds[last]]].tolist(), (bounds[block : last + 1] - lo).tolist()
+        for t in range(block, last):
+            terms = [alpha[f[e]] + w[e] for e in range(cut[t - block], cut[t - block + 1])]
+            top = max(terms, default=-math.inf)
+            if top > -math.inf:
+                alpha[t] = top + math.log(sum(math.exp(x - top) for x in terms))
+    out, t = [], n
+    draws = uniform(np.full(n + 1, seed, np.uint64), base + np.arange(n + 1))
     while t:
-        left = draws[t]
-        options = sorted((f, p, math.exp(alpha[f] + w - alpha[t])) for f, p, w in into[t] if alpha[f] > -math.inf)
-        for f, p, share in options:
-            left -= share
-            if left < 0:
-                break
-        out.append((f, p))
-        t = f
+        left = float(draws[t])
+        for f, p in zip(fr[bounds[t] : bounds[t + 1]].tolist(), pid[bounds[t] : bounds[t + 1]].tolist(), strict=True):
+            if alpha[f] > -math.inf:
+                step = f, p
+                left -= math.exp(alpha[f] + log[p] - alpha[t])
+                if left < 0:
+                    break
+        out.append(step)
+        t = step[0]
     return out[::-1]
 
 

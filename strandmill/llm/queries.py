@@ -20,6 +20,11 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.extendible_shards(documents(spark, sf_dir))
 
 
+def op3_sharding_small(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of 256 KB at most, so that buckets split at every size of the tables."""
+    return sharding.extendible_shards(documents(spark, sf_dir), max_bytes=1 << 18)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(documents(spark, sf_dir))
 
@@ -60,6 +65,7 @@ QUERIES = {
     "op1_secret_scans": op1_secret_scans,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_sharding": op3_sharding,
+    "op3_sharding_small": op3_sharding_small,
     "op4_quality_rules": op4_quality_rules,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_mixing": op6_mixing,
@@ -104,15 +110,17 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
   coalesce(spans, '') AS spans, coalesce(n_opaque, 0) AS n_opaque, coalesce(n_owner_specific, 0) AS n_owner_specific, coalesce(n_widely_copied, 0) AS n_widely_copied, coalesce(held_by, '') AS held_by
 FROM documents d LEFT JOIN per USING (doc_id)"""
 
-OP3_SQL = f"""
+def _shards(limit: int) -> str:
+    return f"""
 WITH r AS (SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM documents),
 lv AS (SELECT doc_id, d AS depth, h >> ({sharding.HASH_BITS} - d) AS prefix, n_bytes FROM r, range(0, {sharding.HASH_BITS}) x(d)),
-b AS (SELECT depth, prefix, CAST(sum(n_bytes) AS BIGINT) AS shard_bytes, count(*) AS shard_docs FROM lv GROUP BY depth, prefix HAVING sum(n_bytes) <= {sharding.MAX_BYTES}),
+b AS (SELECT depth, prefix, CAST(sum(n_bytes) AS BIGINT) AS shard_bytes, count(*) AS shard_docs FROM lv GROUP BY depth, prefix HAVING sum(n_bytes) <= {limit}),
 c AS (SELECT lv.doc_id, lv.n_bytes, lv.depth, lv.prefix, shard_bytes, shard_docs, row_number() OVER (PARTITION BY doc_id ORDER BY lv.depth) AS k FROM lv JOIN b USING (depth, prefix))
 SELECT doc_id, n_bytes, CAST(depth AS INTEGER) AS depth, prefix, CAST(0 AS BIGINT) AS piece,
   CASE WHEN depth = 0 THEN 'root' ELSE lpad(bin(prefix), CAST(depth AS INTEGER), '0') END AS shard, shard_bytes, shard_docs, false AS oversize
 FROM c WHERE k = 1"""
 
+
 _M = mixing
 OP6_SQL = f"""
 WITH z AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, {_lit(WORD)})), 0) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
@@ -142,7 +150,8 @@ FROM n WINDOW w AS (PARTITION BY t)"""
 
 ORACLE_SQL = {
     "op1_secret_scans": OP1_SQL,
-    "op3_sharding": OP3_SQL,
+    "op3_sharding": _shards(sharding.MAX_BYTES),
+    "op3_sharding_small": _shards(1 << 18),
     "op6_mixing": OP6_SQL,
     "op7_exact_dedup": OP7_SQL,
 }

@@ -19,9 +19,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from strandmill.llm.common import stage
+from strandmill.llm.common import running_sum, stage
 
 HASH_BITS = 60
 MAX_BYTES = 16 << 20
@@ -55,7 +54,7 @@ def extendible_shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hash were cut by rank.
     """
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), row_hash(F.col(id_col)).alias("h"))
-    left = stage(rows, "sizes")
+    left = stage(rows.withColumn("row_key", F.monotonically_increasing_id()), "sizes")
     total = left.agg(F.sum("n_bytes")).first()[0] or 0
     depth, step, done = 0, min(HASH_BITS, 2 + max(0, math.ceil(math.log2(max(1, total) / max_bytes)))), []
     while True:
@@ -70,13 +69,14 @@ def extendible_shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
     if depth == HASH_BITS:  # what no bit can split: rows of one hash
         done.append(left.withColumn("depth", F.lit(HASH_BITS)))
-    out = reduce(DataFrame.unionByName, [d.select("doc_id", "n_bytes", "h", F.col("depth").cast("int").alias("depth")) for d in done])
+    out = reduce(DataFrame.unionByName, [d.select("doc_id", "n_bytes", "h", "row_key", F.col("depth").cast("int").alias("depth")) for d in done])
     out = out.withColumn("prefix", F.expr(f"shiftright(h, {HASH_BITS} - depth)"))
     # a settled bucket fits the limit; only rows of one hash that together exceed it are cut, by rank
     same = out.filter(F.col("depth") == HASH_BITS)
-    w = W.partitionBy("h")
-    per = F.greatest(F.lit(1), F.floor(F.lit(max_bytes) / F.greatest(F.lit(1), F.max("n_bytes").over(w))))
-    same = same.withColumn("piece", F.floor((F.row_number().over(w.orderBy("n_bytes", "doc_id")) - 1) / per).cast("long"))
+    most = stage(same.groupBy("h").agg(F.max("n_bytes").alias("most")).select(F.col("h").alias("of"), "most"), "one-hash")
+    same = running_sum(same.withColumn("one", F.lit(1)), ["h"], ["row_key"], "one", "rank", F.shiftright("row_key", 14)).join(most, F.col("h") == F.col("of"))
+    per = F.greatest(F.lit(1), F.floor(F.lit(max_bytes) / F.greatest(F.lit(1), F.col("most"))))
+    same = same.withColumn("piece", F.floor(F.col("rank") / per).cast("long")).drop("one", "rank", "of", "most")
     out = out.filter(F.col("depth") < HASH_BITS).withColumn("piece", F.lit(0).cast("long")).unionByName(same)
     out = out.withColumn("shard", F.when(F.col("depth") == 0, F.lit("root")).otherwise(F.expr("lpad(bin(prefix), depth, '0')")))
     out = out.withColumn("shard", F.when(F.col("depth") == HASH_BITS, F.concat_ws(".", "shard", "piece")).otherwise(F.col("shard")))

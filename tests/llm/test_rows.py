@@ -302,3 +302,179 @@ def test_token_files(spark, tmp_path):
     ids, mask = token_files.sequence(first["path"], 0)
     assert len(ids) == 64 and mask.dtype == bool
     assert token_files.token_files(empty(spark), path).count() == 0
+
+
+# --- independent versions -----------------------------------------------------------
+
+
+def brute_lines(text):
+    """The line rules and the verdict, word by word."""
+    phrases = ("all rights reserved", "privacy policy", "terms of use", "terms of service", "accept cookies", "cookie policy", "licensed under", "released under the", "click here", "lorem ipsum", "enable javascript")
+    gone = lost = chars = 0
+    for line in text.split("\n"):
+        words = WORD.findall(line)
+        if not words:
+            continue
+        n = len(words)
+        runs = sum(line[i] in "!?" and line[i - 1] in "!?" for i in range(1, len(line)))
+        strewn = sum(c in "#*$%&<" for c in line)
+        bars = sum(c in "|>" for c in line)
+        low = "".join(c.lower() if c.isascii() else c for c in line)
+        bad = runs > 0.3 * n or strewn > 0.5 * n or (bars >= 3 and bars > 0.2 * n) or any(p in low for p in phrases)
+        size = sum(map(len, words))
+        chars += size
+        gone += bad
+        lost += size * bad
+    return gone, lost, lost <= 0.5 * chars
+
+
+def test_quality_verdicts(spark):
+    import random
+
+    r = random.Random(5)
+    bits = ["Click HERE now", "a | b | c > d", "wow!!", "really?! no!?", "$5 #1 *x", "&&& %%%", "a|b", "Terms of\tuse", "privacy policy é", "licensed under", "", " ", "x > y"]
+    texts = ["\n".join(r.choice([prose(r.randrange(999), r.randrange(1, 30)), r.choice(bits), f"{r.choice(bits)} {r.choice(bits)} {prose(r.randrange(99), r.randrange(0, 6))}"]) for _ in range(r.randrange(1, 14))) for _ in range(300)]
+    got = quality.quality_rules(frame(spark, [(i, t, "en", "a", 1, "", "", "", "") for i, t in enumerate(texts)])).collect()
+    kept = 0
+    for row in got:
+        gone, lost, fine = brute_lines(texts[row["doc_id"]])
+        assert (row["n_removed_lines"], row["lost_chars"]) == (gone, lost), texts[row["doc_id"]]
+        assert row["kept"] == (fine and not row["base_failed"])
+        kept += row["kept"]
+    assert 30 < kept < 270
+
+
+def brute_language(model, text, penalty=12.0):
+    """Scores word by word from trigrams, and a plain Viterbi."""
+    words = [m for m in re.findall(r"[^\W\d_]+", text) if m.isalpha()]
+    if not words or not model.langs:
+        return "und", 0.0
+    letters, path = sum(map(len, words)), []
+    back, best = [], None
+    for w in words:
+        low = [ord(c.lower()) if len(c.lower()) == 1 else ord(c) for c in w]
+        total = np.zeros(len(model.langs))
+        for i, c in enumerate(low):
+            key = ((low[i - 1] if i else 0) << 42) ^ (c << 21) ^ (low[i + 1] if i + 1 < len(low) else 0)
+            key = ((key ^ (key >> 29)) * 0xBF58476D1CE4E5B9) % (1 << 64)
+            total += model.logp[key >> 48]
+        script = next(s for a, s in reversed(((0, 0), *language_id.SCRIPTS)) if ord(w[0]) >= a)
+        ok = model.uses[script]
+        row = np.where(ok, total, -1e4 * len(w)) if ok.any() else np.zeros(len(model.langs))
+        if best is None:
+            best = row
+        else:
+            top = int(best.argmax())
+            stay = best >= best[top] - penalty
+            back.append(np.where(stay, np.arange(len(best)), top))
+            best = np.where(stay, best, best[top] - penalty) + row
+        path.append((len(w), bool(ok.any())))
+    at = int(best.argmax())
+    labels = [at]
+    for step in reversed(back):
+        at = int(step[at])
+        labels.append(at)
+    won = np.zeros(len(model.langs))
+    for (n, known), lang in zip(path, labels[::-1], strict=True):
+        won[lang] += n * known
+    return (model.langs[int(won.argmax())] if won.max() > 0 else model.langs[model.most]), won.max() / letters
+
+
+def test_language_against_plain_python(spark):
+    from strandmill.llm.common import documents
+
+    docs = documents(spark, "/root/testdata/sf0.001")
+    model = language_id.fit(docs)
+    texts = {r["doc_id"]: r["text"] for r in docs.filter("length(text) < 6000").limit(150).collect()}
+    names = sorted(texts)
+    texts |= {900_000 + i: (texts[names[i]] or "")[:300] + " " + (texts[names[-1 - i]] or "")[:300] for i in range(30)}
+    texts |= {910_000: None, 910_001: "123 !", 910_002: "漢字", 910_003: "\U00032300"}
+    got = {r["doc_id"]: r for r in language_id.identify(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), model).collect()}
+    for i, t in texts.items():
+        lang, score = brute_language(model, t or "")
+        assert got[i]["lang_pred"] == lang, (i, t[:80])
+        assert got[i]["score"] == pytest.approx(score, abs=1e-9)
+    assert got[910_003]["lang_pred"] != "und"  # a letter, if a rare one
+
+
+def brute_pieces(model, text, key):
+    """Ids of one text: exact sums over all segmentations of each unit, drawn by the same numbers."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=model)
+    weight, byte = {}, {}
+    for i in range(sp.get_piece_size()):
+        if sp.is_byte(i):
+            byte[int(sp.id_to_piece(i)[3:5], 16)] = i
+        elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or " " in sp.id_to_piece(i)):
+            weight[sp.id_to_piece(i).replace("▁", " ").encode()] = (i, 1 / (10.0 - sp.get_score(i)))
+    raw, out = b" " + text.encode(), []
+    seed = np.array([key], np.uint64)
+    seed = piece_sampling.mix(seed)
+    for m in re.finditer(rb" +[^ ]*|^[^ ]+", raw):
+        unit, base = m[0], m.start()
+        chars = [i for i in range(len(unit)) if unit[i] & 0xC0 != 0x80] + [len(unit)]
+        into = {t: [] for t in range(len(unit) + 1)}
+        for a, b in zip(chars, chars[1:], strict=False):
+            for t in range(a + 1, len(unit) + 1):
+                if unit[a:t] in weight:
+                    piece, w = weight[unit[a:t]]
+                    into[t].append((a, piece, w * 24.0 ** (t - a)))  # the same factor for every segmentation
+            if unit[a:b] not in weight:
+                for k in range(a, b):
+                    into[k + 1].append((k, byte[unit[k]], 24.0e-5))
+        mass = [1.0] + [0.0] * len(unit)
+        for t in range(1, len(unit) + 1):
+            mass[t] = sum(mass[f] * w for f, _, w in into[t])
+        t, ids = len(unit), []
+        while t:
+            left = float(piece_sampling.uniform(seed, np.array([base + t]))[0])
+            for f, p, w in sorted(into[t]):
+                left -= mass[f] * w / mass[t]
+                if left < 0:
+                    break
+            ids.append(p)
+            t = f
+        out += ids[::-1]
+    return out
+
+
+def test_pieces_against_plain_python(spark):
+    path = tokenizer("piece_bpe_32k.model")
+    texts = ["Hello world", "  two  blanks ", "naïve 漢字 😀\n▁x", "the quick brown fox jumps over the lazy dog", "a" * 40, "reproducibility of segmentations", "x" * 70 + " " + "漢字かな" * 20]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    keys = {r["doc_id"]: r["key"] for r in df.selectExpr("doc_id", "xxhash64(cast(doc_id as string)) AS key").collect()}
+    got = {r["doc_id"]: r["ids"] for r in piece_sampling.encode_sampled(df, path, with_ids=True).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == brute_pieces(path, t, keys[i] % (1 << 64)), t
+
+
+def test_very_long_texts(spark):
+    """Texts of over a megabyte, one of them without a blank, go through every row operator whole."""
+    long, solid = prose(40, 260_000, 50_000), "漢字かな" * 100_000
+    data = [(1, long, "en", "a", 1, "", "", "", ""), (2, solid, "ja", "a", 1, "", "", "", "")]
+    assert len(long) > 1_500_000
+    df = frame(spark, data)
+    got = {r["doc_id"]: r for r in quality.quality_rules(df).collect()}
+    assert (got[1]["n_words"], got[2]["n_words"]) == (260_000, 1)
+    pieces = {r["doc_id"]: r for r in piece_sampling.encode_sampled(df, tokenizer("piece_bpe_32k.model")).collect()}
+    assert pieces[1]["lossless"] and pieces[2]["lossless"]
+    files = token_files.token_files(df, tokenizer("word_bpe_49k.json")).collect()
+    assert sorted(r["doc_id"] for r in files) == [1, 2]
+
+
+def test_token_buckets_follow_bytes(spark, tmp_path):
+    """Buckets are cut by text, not by rows, however the texts are spread."""
+    data = [(i, prose(i, 2 if i < 400 else 300), "en", "a", 1, "", "", "", "") for i in range(450)]
+    cuts = token_files.bucket_cuts(frame(spark, data).select("doc_id", "text").repartition(3), 20_000)
+    sizes = Counter()
+    for i, t, *_ in data:
+        sizes[int(np.searchsorted(cuts, i, side="right"))] += len(t)
+    assert len(sizes) > 3 and max(sizes.values()) < 24_000
+
+
+def test_rows_of_one_hash_are_cut_evenly(spark):
+    data = [(None, prose(i, 10), "en", "a", 1, "", "", "", "") for i in range(200)] + [(i, prose(i, 10), "en", "a", 1, "", "", "", "") for i in range(50)]
+    got = sharding.extendible_shards(frame(spark, data).repartition(3), max_bytes=500).collect()
+    assert len(got) == 250 and not any(r["oversize"] for r in got)
+    assert len({r["shard"] for r in got if r["doc_id"] is None}) > 10
