@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -92,6 +93,37 @@ def mismatches(read: Column | str, ref: Column | str, limit: int) -> Column:
     return F.least(hamming(read, F.translate(_col(ref), "N", "n")), F.lit(limit + 1))
 
 
+def next_dna(seq: Column | str) -> Column:
+    """The next string of equal length in the order A < C < G < T; empty after all T."""
+    s = _col(seq)
+    kept = F.regexp_replace(s, "T+$", "")
+    n = F.length(kept)
+    head, last = kept.substr(F.lit(1), n - 1), F.translate(F.substring(kept, -1, 1), "ACG", "CGT")
+    return F.when(n == 0, F.lit("")).otherwise(F.concat(head, last, F.repeat(F.lit("A"), F.length(s) - n)))
+
+
+#: Fixed start and factor of the 64-bit FNV-1a checksum.
+FNV_START, FNV_PRIME = 1469598103934665603, 1099511628211
+
+
+def checksum(seq: Column | str) -> Column:
+    """FNV-1a of a sequence's bytes, as the LONG of the same 64 bits."""
+
+    @F.pandas_udf("long")
+    def run(texts: pd.Series) -> pd.Series:
+        def one(text: str | None) -> int | None:
+            if text is None:
+                return None
+            h = FNV_START
+            for b in text.encode():
+                h = (h ^ b) * FNV_PRIME & 0xFFFFFFFFFFFFFFFF
+            return h - (1 << 64) if h >> 63 else h
+
+        return pd.Series([one(t) for t in texts], dtype="Int64")
+
+    return run(_col(seq))
+
+
 def edit_within(read: Column | str, ref: Column | str, k: int) -> Column:
     """Edit distance up to ``k``, else -1; N matches nothing."""
     return F.levenshtein(F.translate(_col(read), "N", "n"), _col(ref), k)

@@ -85,6 +85,14 @@ def run_pairs(runs: DataFrame) -> DataFrame:
     )
 
 
+def run_deltas(pairs: DataFrame, stats: DataFrame) -> DataFrame:
+    """Pairs of runs (a_case_id, b_case_id) with the first run's counts less the second's: delta_mapped, delta_unmapped, delta_with_alt; ``stats``: case_id and the counts."""
+    names = ("mapped", "unmapped", "with_alt")
+    a, b = (stats.select(F.col("case_id").alias(f"{x}_case_id"), *[F.col(c).alias(f"{x}_{c}") for c in names]) for x in "ab")
+    both = pairs.join(a, "a_case_id").join(b, "b_case_id")
+    return both.select(*pairs.columns, *[(F.col(f"a_{c}") - F.col(f"b_{c}")).alias(f"delta_{c}") for c in names])
+
+
 def violations(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     """Broken output rules: line_no, name, rule; rows are raw mapper lines (n_fields, name, chrom, pos, cigar, seq, qual, alt).
 

@@ -2,7 +2,10 @@
 
 Seeds come from a plan of positions, are ordered by rarity and chosen with a least
 spacing that is relaxed twice; the rarest have more of their occurrences expanded.
-Clusters are cut to 64 for each strand and scored windows to 10.
+Clusters are cut to 64 for each strand, scored windows to 20, and of these the 10
+best go on if they are at most one edit worse than the best. With k of at most 1 rare
+seeds are tried first without gaps; a strand that this settles is not searched further.
+The reverse strand does not count where the forward one has two exact hits.
 """
 
 from __future__ import annotations
@@ -12,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from strandmill.functions.sequence import mismatches
+from strandmill.operators.index import fetch
 from strandmill.plans import anchors as A
 
 #: Fixed caps of this mode.
@@ -20,7 +25,8 @@ SPACING = (10, 5, 0)
 FREQ_SKIP, FREQ_MOST = 64, 512
 DENSE_ALL, DENSE_SAMPLED = 192, 48
 EXPAND_FIRST, EXPAND_OTHER, EXPAND_LEAST, EXPAND_FREE = 1024, 256, 64, 32
-TOP_VERIFY = 10
+TOP_PREFILTER, TOP_VERIFY = 20, 10
+QUICK_SEEDS, QUICK_FREQ, QUICK_STARTS, NEAR = 3, 8, 8, 10
 
 
 def evenly(n: int, last: int) -> list[int]:
@@ -112,21 +118,62 @@ def sampled_hits(seeds: DataFrame, index: DataFrame, stride: int) -> DataFrame:
     return j.filter(keep).select("read_id", "strand", "contig_id", "seed_no", "off", "freq", (F.col("pos") - F.col("off")).alias("diagonal"))
 
 
+def quick_hits(seeds: DataFrame, index: DataFrame, both: DataFrame, ref_chunks: DataFrame, sizes: DataFrame, k: int, longest: int | None) -> tuple[DataFrame, DataFrame]:
+    """Hits without gaps of the rarest seeds, and the strands (read_id, strand) they settle.
+
+    Starts are tried in order; a strand is settled by its first exact hit or its second
+    distinct one, and what comes after does not count.
+    """
+    rare = seeds.filter((F.col("seed_no") < QUICK_SEEDS) & (F.col("freq") <= QUICK_FREQ))
+    starts = rare.join(index, "kmer").select("read_id", "strand", "contig_id", (F.col("pos") - F.col("off")).alias("start")).distinct()
+    starts = starts.join(both, ["read_id", "strand"]).join(sizes, "contig_id").withColumn("n", F.length("oseq"))
+    starts = starts.filter((F.col("start") >= 0) & (F.col("start") + F.col("n") <= F.col("length")))
+    strand = W.partitionBy("read_id", "strand").orderBy("contig_id", "start")
+    starts = starts.withColumn("place", F.row_number().over(strand)).filter(F.col("place") <= QUICK_STARTS).drop("length")
+    got = fetch(starts, ref_chunks, "start", "n", "window", longest=longest)
+    got = got.withColumn("edit", mismatches("oseq", "window", k)).filter((F.col("edit") >= 0) & (F.col("edit") <= k))
+    same = W.partitionBy("read_id", "strand", "contig_id", "edit").orderBy("start")
+    apart = F.coalesce(F.col("start") - F.lag("start").over(same) > NEAR, F.lit(True))
+    got = got.withColumn("new", apart.cast("int"))
+    upto = W.partitionBy("read_id", "strand").orderBy("place").rowsBetween(W.unboundedPreceding, 0)
+    got = got.withColumn("done", ((F.min("edit").over(upto) == 0) | (F.sum("new").over(upto) >= 2)).cast("int"))
+    got = got.withColumn("closed", F.sum("done").over(upto))
+    settled = got.filter("done = 1").select("read_id", "strand").distinct()
+    hits = got.filter("closed <= 1").select("read_id", "strand", "contig_id", "start", "edit", F.col("n").alias("ref_len"))
+    return hits, settled
+
+
+def drop_idle_reverse(hits: DataFrame) -> DataFrame:
+    """Without the reverse hits of reads that have two distinct exact forward ones."""
+    exact = hits.filter("strand = '+' AND edit = 0").select("read_id", "contig_id", "start").distinct()
+    same = W.partitionBy("read_id", "contig_id").orderBy("start")
+    apart = exact.withColumn("new", F.coalesce(F.col("start") - F.lag("start").over(same) > NEAR, F.lit(True)).cast("int"))
+    full = apart.groupBy("read_id").agg(F.sum("new").alias("n")).filter("n >= 2").select(F.col("read_id").alias("full"))
+    return hits.join(full, (F.col("read_id") == F.col("full")) & (F.col("strand") == "-"), "left_anti")
+
+
 def seeded_hits(reads: DataFrame, ref_chunks: DataFrame, index: DataFrame, k: int, seed: int, stride: int) -> DataFrame:
     """read_id, strand, contig_id, start, edit, ref_len of verified windows."""
     from strandmill.plans.mapper import oriented, score_windows
 
     both = oriented(reads)
+    longest = reads.agg(F.max(F.length("seq"))).first()[0]
     freqs = index.groupBy("kmer").agg(F.count("*").alias("freq"))
     seeds = chosen_seeds(planned_seeds(both, k, seed, stride), freqs, k)
     sizes = ref_chunks.filter("chunk_id = 0").select("contig_id", "length")
+    quick = None
+    if k <= 1:
+        quick, settled = quick_hits(seeds, index, both, ref_chunks, sizes, k, longest)
+        seeds = seeds.join(settled, ["read_id", "strand"], "left_anti")
     hits = sampled_hits(seeds, index, stride).join(sizes, "contig_id")
     lengths = reads.select("read_id", F.length("seq").alias("n"))
     best = A.best_clusters(A.cluster(A.merge(A.expand(hits, lengths, k)), k))
     starts = best.select("read_id", "strand", "contig_id", "n_seeds", "freq", "rep", F.explode(F.sequence(F.greatest(F.col("rep") - k, F.lit(0)), F.col("rep") + k)).alias("start"))
-    scored = score_windows(starts.select("read_id", "strand", "contig_id", "start").distinct(), both, ref_chunks, k)
+    scored = score_windows(starts.select("read_id", "strand", "contig_id", "start").distinct(), both, ref_chunks, k, longest)
     joined = starts.join(scored, ["read_id", "strand", "contig_id", "start"])
     one = joined.groupBy("read_id", "strand", "contig_id", "rep").agg(F.max("n_seeds").alias("n_seeds"), F.min("freq").alias("freq"), F.min(F.struct("edit", "start", "ref_len")).alias("b"))
-    order = W.partitionBy("read_id", "strand").orderBy(F.col("b.edit"), F.desc("n_seeds"), "freq", "rep")
-    kept = one.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= TOP_VERIFY)
-    return kept.select("read_id", "strand", "contig_id", F.col("b.start").alias("start"), F.col("b.edit").alias("edit"), F.col("b.ref_len").alias("ref_len"))
+    strand = W.partitionBy("read_id", "strand")
+    kept = one.withColumn("place", F.row_number().over(strand.orderBy(F.col("b.edit"), F.desc("n_seeds"), "freq", "rep"))).filter(F.col("place") <= TOP_PREFILTER)
+    kept = kept.withColumn("least", F.min("b.edit").over(strand)).filter((F.col("place") <= TOP_VERIFY) & (F.col("b.edit") <= F.col("least") + 1))
+    found = kept.select("read_id", "strand", "contig_id", F.col("b.start").alias("start"), F.col("b.edit").alias("edit"), F.col("b.ref_len").alias("ref_len"))
+    return drop_idle_reverse(found if quick is None else found.unionByName(quick).distinct())

@@ -1,8 +1,6 @@
 """The registered queries of the sequence engine and their SQL.
 
-Every query runs over whole tables, and over whole texts but for ``quality_trim``
-and the five suffix queries with SQL, whose SQL takes the first 160 and 120
-letters; ``..._whole`` of each runs over whole texts. Sequences come from
+Every query runs over whole tables and whole texts. Sequences come from
 :mod:`strandmill.plans.dna_view`; alignment tables are derived from ``orders`` by
 arithmetic on keys that both engines share (``RECORDS``).
 """
@@ -140,19 +138,12 @@ def seq_global_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.global_stats(contigs(spark, sf_dir))
 
 
-_QUAL = "substr(substr(repeat(translate(md5(name), '0123456789abcdef', '!$''*-0369<?BEHI#'), 5), 1, 200), 1, length(seq))"
-_QUAL_WHOLE = "substr(repeat(translate(md5(name), '0123456789abcdef', '!$''*-0369<?BEHI#'), CAST(ceil(length(seq) / 32) AS BIGINT)), 1, length(seq))"
+_QUAL = "substr(repeat(translate(md5(name), '0123456789abcdef', '!$''*-0369<?BEHI#'), CAST(ceil(length(seq) / 32) AS BIGINT)), 1, length(seq))"
 
 
-@query(f"""WITH {_C}, q AS (SELECT name, substr(seq, 1, 160) AS seq FROM c), t AS (SELECT name, length(regexp_replace({_QUAL}, '[!-2]+$', '')) AS keep, length(seq) AS n FROM q)
+@query(f"""WITH {_C}, t AS (SELECT name, length(regexp_replace({_QUAL}, '[!-2]+$', '')) AS keep, length(seq) AS n FROM c)
 SELECT count(*) AS n_reads, CAST(sum(n) AS BIGINT) AS bases_in, CAST(sum(keep) AS BIGINT) AS bases_kept, CAST(min(keep) AS INTEGER) AS shortest, CAST(max(keep) AS INTEGER) AS longest, CAST(floor(sum(keep) / count(*)) AS BIGINT) AS mean FROM t""")
 def quality_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _trimmed(contigs(spark, sf_dir).select("name", F.substring("seq", 1, 160).alias("seq")))
-
-
-@query(f"""WITH {_C}, t AS (SELECT name, length(regexp_replace({_QUAL_WHOLE}, '[!-2]+$', '')) AS keep, length(seq) AS n FROM c)
-SELECT count(*) AS n_reads, CAST(sum(n) AS BIGINT) AS bases_in, CAST(sum(keep) AS BIGINT) AS bases_kept, CAST(min(keep) AS INTEGER) AS shortest, CAST(max(keep) AS INTEGER) AS longest, CAST(floor(sum(keep) / count(*)) AS BIGINT) AS mean FROM t""")
-def quality_trim_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _trimmed(contigs(spark, sf_dir).select("name", "seq"))
 
 
@@ -418,6 +409,20 @@ def run_pair_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.run_pairs(runs)
 
 
+_RUN_STATS = f"""WITH m AS ({RECORDS}), q AS (SELECT 'case' || v AS case_id, CASE WHEN chrom <> '*' AND ordinal % (5 + v) = 0 THEN '*' ELSE chrom END AS chrom, alt FROM m, range(0, 4) x(v)),
+t AS (SELECT case_id, count(*) FILTER (chrom <> '*') AS mapped, count(*) FILTER (chrom = '*') AS unmapped, count(*) FILTER (alt IS NOT NULL) AS with_alt FROM q GROUP BY case_id)"""
+
+
+@query(f"{_RUN_STATS} SELECT a.case_id AS a_case_id, b.case_id AS b_case_id, a.mapped - b.mapped AS delta_mapped, a.unmapped - b.unmapped AS delta_unmapped, a.with_alt - b.with_alt AS delta_with_alt FROM t a JOIN t b ON a.case_id < b.case_id")
+def run_pair_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = records(spark, sf_dir).withColumn("v", F.explode(F.array(*[F.lit(v) for v in range(4)])))
+    runs = m.select(F.concat(F.lit("case"), "v").alias("case_id"), F.when((F.col("chrom") != "*") & (F.col("ordinal") % (5 + F.col("v")) == 0), "*").otherwise(F.col("chrom")).alias("chrom"), "alt")
+    mapped = F.col("chrom") != "*"
+    stats_ = runs.groupBy("case_id").agg(F.count_if(mapped).alias("mapped"), F.count_if(~mapped).alias("unmapped"), F.count_if(F.col("alt").isNotNull()).alias("with_alt"))
+    cases = stats_.select(F.col("case_id").alias("a_case_id")).join(stats_.select(F.col("case_id").alias("b_case_id")), F.col("a_case_id") < F.col("b_case_id"))
+    return evaluate.run_deltas(cases, stats_)
+
+
 @query(f"WITH m AS ({RECORDS}) SELECT count(*) AS reads, count(*) FILTER (chrom <> '*') AS mapped, count(*) FILTER (chrom = '*') AS unmapped, count(*) FILTER (alt IS NOT NULL) AS with_alt FROM m")
 def mapped_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.mapped_stats(records(spark, sf_dir))
@@ -467,62 +472,48 @@ for _name, _kind in (("align_edit", "edit"), ("align_weighted", "weighted"), ("a
 
 # --- suffix structures -------------------------------------------------------------
 
-_SA = f"WITH {_C}, x AS (SELECT contig_id, substr(seq, 1, 120) || '$' AS t FROM c), p AS (SELECT contig_id, t, unnest(range(0, length(t))) AS pos FROM x), sa AS (SELECT contig_id, row_number() OVER (PARTITION BY contig_id ORDER BY substr(t, pos + 1)) - 1 AS row, pos, substr(t, CASE WHEN pos = 0 THEN length(t) ELSE pos END, 1) AS ch FROM p)"
-
+# no SQL for the first four: DuckDB would write out and sort every suffix of a text; tested against brute force
 
-def _heads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.suffix_array(contigs(spark, sf_dir).select("contig_id", F.substring("seq", 1, 120).alias("seq")))
 
-
-@query(f"{_SA} SELECT contig_id, row, pos FROM sa")
+@query()
 def suffix_array_small(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _heads(spark, sf_dir).select("contig_id", "row", "pos")
+    return suffix.suffix_array(contigs(spark, sf_dir)).select("contig_id", "row", "pos")
 
 
-@query(f"{_SA} SELECT contig_id, string_agg(ch, '' ORDER BY row) AS bwt FROM sa GROUP BY contig_id")
+@query()
 def bwt_small(spark: SparkSession, sf_dir: str) -> DataFrame:
-    letters = F.transform(F.array_sort(F.collect_list(F.struct("row", "ch"))), lambda s: s["ch"])
-    return _heads(spark, sf_dir).groupBy("contig_id").agg(F.concat_ws("", letters).alias("bwt"))
-
-
-@query(f"{_SA}, n AS (SELECT contig_id, ch, count(*) AS n FROM sa GROUP BY ALL) SELECT contig_id, ch, n, CAST(coalesce(sum(n) OVER (PARTITION BY contig_id ORDER BY ch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM n")
-def fm_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.symbol_starts(_heads(spark, sf_dir))
+    return suffix.bwt_strings(contigs(spark, sf_dir))
 
 
-@query(f"{_SA}, q AS (SELECT contig_id, row, " + ", ".join(f"CAST(coalesce(sum(CASE WHEN ch = '{c}' THEN 1 ELSE 0 END) OVER w, 0) AS BIGINT) AS n_{c.lower()}" for c in "ACGT") + " FROM sa WINDOW w AS (PARTITION BY contig_id ORDER BY row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT * FROM q WHERE row % 32 = 0")
+@query()
 def occ_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.checkpoints(_heads(spark, sf_dir))
+    return suffix.contig_checkpoints(contigs(spark, sf_dir))
 
 
-@query(f"{_SA} SELECT contig_id, row, pos FROM sa WHERE row % 32 = 0")
+@query()
 def sa_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.sampled(_heads(spark, sf_dir))
-
-
-def suffix_array_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.suffix_array(contigs(spark, sf_dir)).select("contig_id", "row", "pos")
-
-
-def bwt_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.bwt_strings(contigs(spark, sf_dir))
+    return suffix.contig_samples(contigs(spark, sf_dir))
 
 
-def fm_counts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(f"""WITH {_C}, l AS (SELECT contig_id, unnest(string_split(seq || '$', '')) AS ch FROM c), n AS (SELECT contig_id, ch, count(*) AS n FROM l WHERE ch <> '' GROUP BY ALL)
+SELECT contig_id, ch, n, CAST(coalesce(sum(n) OVER (PARTITION BY contig_id ORDER BY ch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM n""")
+def fm_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbol counts taken from the BWT; they are those of the text."""
     return suffix.contig_symbol_starts(contigs(spark, sf_dir))
 
 
-def occ_checkpoints_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.contig_checkpoints(contigs(spark, sf_dir))
-
-
-def sa_samples_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.contig_samples(contigs(spark, sf_dir))
+@query(f"WITH {_C} SELECT contig_id, md5(seq) AS digest FROM c")
+def bwt_inverted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts spelled out of their BWTs: right only if the suffixes are in order."""
+    return suffix.inverted(suffix.fm_table(contigs(spark, sf_dir))).select("contig_id", F.md5("seq").alias("digest"))
 
 
-# no SQL: DuckDB would write out and sort every suffix of a text
-for _whole in (suffix_array_whole, bwt_whole, fm_counts_whole, occ_checkpoints_whole, sa_samples_whole):
-    QUERIES[_whole.__name__] = _whole
+@query(f"""WITH {_C}, p AS (SELECT unnest({list(_PATTERNS)}) AS pattern), h AS (SELECT pattern, contig_id, count(*) AS n FROM (SELECT pattern, contig_id, base, piece, unnest(range(0, least(512, length - base - length(pattern) + 1))) AS off FROM {_cut()}, p) WHERE substr(piece, off + 1, length(pattern)) = pattern GROUP BY ALL)
+SELECT contig_id, pattern, coalesce(n, 0) AS n FROM c CROSS JOIN p LEFT JOIN h USING (contig_id, pattern)""")
+def fm_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often patterns occur, by backward search alone."""
+    pats = spark.createDataFrame([(p,) for p in _PATTERNS], "pattern string")
+    return suffix.membership(suffix.fm_table(contigs(spark, sf_dir)), pats)
 
 
 # --- events and runs ----------------------------------------------------------------

@@ -2,6 +2,7 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from strandmill.operators import index
 from strandmill.operators.align import banded
@@ -130,9 +131,49 @@ def test_arguments(spark):
             mapper.map_reads(rd, ch, ch, **bad)
 
 
-def test_reads_beyond_the_bound_raise(spark):
-    ref = spark.createDataFrame([(0, "c", "ACGTTGCA" * 100)], "contig_id long, name string, seq string")
-    reads = spark.createDataFrame([(1, "ACGTTGCA" * 40)], "read_id long, seq string")
-    chunks = index.chunks(ref)
-    with pytest.raises(Exception, match="longer than the chunk overlap"):
-        mapper.map_reads(reads, chunks, index.kmer_index(chunks), 1).collect()
+def test_long_reads_map(spark):
+    """Reads beyond the chunk overlap, and beyond a chunk, with and without errors."""
+    import random
+
+    r = random.Random(3)
+    ref = "".join(r.choice("ACGT") for _ in range(4000))
+    data = [(1, ref[100:400]), (2, ref[700:1500]), (3, ref[2000:2300] + "A" + ref[2300:2500]), (4, ref[3000:3250])]
+    contigs = spark.createDataFrame([(0, "c", ref)], "contig_id long, name string, seq string")
+    reads = spark.createDataFrame([(i, f"r{i}", s, "I" * len(s)) for i, s in data], "read_id long, name string, seq string, qual string")
+    chunks = index.chunks(contigs)
+    got = mapper.map_reads(reads, chunks, index.kmer_index(chunks), 1)
+    assert [(r["read_id"], r["pos"], r["edit"]) for r in got.orderBy("read_id").collect()] == [(1, 101, 0), (2, 701, 0), (3, 2001, 1), (4, 3001, 0)]
+    lines = {r["read_id"]: r["cigar"] for r in mapper.with_cigars(got, chunks, 1).collect()}
+    assert lines[1] == "300M" and lines[2] == "800M" and "1I" in lines[3]
+    capped = mapper.map_reads(reads, chunks, index.kmer_index(chunks), 1, "seeded")
+    assert [(r["read_id"], r["pos"]) for r in capped.orderBy("read_id").collect()] == [(1, 101), (2, 701), (3, 2001), (4, 3001)]
+
+
+def test_duplicate_rules(spark):
+    hits = spark.createDataFrame([(1, "+", 0, 10, 0, 50, 50), (1, "+", 0, 14, 1, 50, 50), (1, "+", 0, 55, 1, 50, 50), (1, "-", 0, 200, 1, 50, 50)], "read_id long, strand string, contig_id long, start long, edit int, ref_len int, n int")
+    names = spark.createDataFrame([(0, "c")], "contig_id long, name string")
+    alt = lambda **how: mapper.top_two(hits, names, **how).first()["alt_pos"]
+    assert (alt(), alt(same_edit=True), alt(tolerance=F.col("n"))) == (56, 15, 201)
+
+
+def test_fm_mapper(spark):
+    contigs, reads = world()
+    ch, rd = frames(spark, contigs, reads)
+    from strandmill.operators import suffix
+    from strandmill.plans import fm_mapper
+
+    few = rd.orderBy("read_id").limit(25)
+    table = suffix.fm_table(spark.createDataFrame([(i, f"c{i}", s) for i, s in enumerate(contigs)], "contig_id long, name string, seq string"))
+    full = {r["read_id"]: r for r in mapper.map_reads(few, ch, index.kmer_index(ch, 16, 4), 1).collect()}
+    got = {r["read_id"]: r for r in fm_mapper.map_reads_fm(few, table, 1).collect()}
+    assert set(got) == set(full)
+    found = [i for i, r in full.items() if r["chrom"]]
+    same = [i for i in found if got[i]["chrom"] and got[i]["edit"] == full[i]["edit"]]
+    assert len(same) >= 0.9 * len(found) > 0
+
+
+def test_settled_strands(spark):
+    """Quick hits stop at the first exact one, or the second distinct one; two exact forward hits leave the reverse out."""
+    hits = spark.createDataFrame([(1, "+", 0, 10, 0, 50), (1, "+", 0, 400, 0, 50), (1, "-", 0, 90, 0, 50), (2, "+", 0, 10, 0, 50), (2, "+", 0, 15, 0, 50), (2, "-", 0, 90, 1, 50)], "read_id long, strand string, contig_id long, start long, edit int, ref_len int")
+    kept = seeded.drop_idle_reverse(hits).select("read_id", "strand").collect()
+    assert sorted(map(tuple, kept)) == [(1, "+"), (1, "+"), (2, "+"), (2, "+"), (2, "-")]

@@ -226,7 +226,7 @@ def test_quality_covers_whole_texts(spark, tmp_path):
         q = (hashlib.md5(str(i).encode()).hexdigest().translate(letters) * 1000)[: len(t)]
         keep.append(max((k + 1 for k, x in enumerate(q) if ord(x) - 33 >= 18), default=0))
     bases = sum(len(t) for _, t in data)
-    assert tuple(QUERIES["quality_trim_whole"](spark, str(tmp_path)).first()) == (5, bases, sum(keep), min(keep), max(keep), sum(keep) // 5)
+    assert tuple(QUERIES["quality_trim"](spark, str(tmp_path)).first()) == (5, bases, sum(keep), min(keep), max(keep), sum(keep) // 5)
 
 
 # --- suffix structures ------------------------------------------------------------------
@@ -251,7 +251,8 @@ def test_suffix_queries_over_whole_texts(spark, tmp_path):
     spark.createDataFrame([(i, s.translate(letters).replace("c", "g" if i % 2 else "c")) for i, s in enumerate(seqs)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     from strandmill.plans.dna_view import contigs as texts
 
-    got = {q: [tuple(r) for r in QUERIES[f"{q}_whole"](spark, str(tmp_path)).collect()] for q in ("suffix_array", "bwt", "fm_counts", "occ_checkpoints", "sa_samples")}
+    names = {"suffix_array": "suffix_array_small", "bwt": "bwt_small"}
+    got = {q: [tuple(r) for r in QUERIES[names.get(q, q)](spark, str(tmp_path)).collect()] for q in ("suffix_array", "bwt", "fm_counts", "occ_checkpoints", "sa_samples")}
     want = {q: [] for q in got}
     for c, _, s in texts(spark, str(tmp_path)).collect():
         t = s + "$"
@@ -330,3 +331,110 @@ def test_loci_and_runs(spark):
     pair = spark.createDataFrame([("a", "r", "1", 5, "4M"), ("b", "r", "1", 7, "4M"), ("a", "s", "*", 0, "*"), ("b", "s", "1", 1, "4M")], "case_id string, name string, chrom string, pos long, cigar string")
     r = evaluate.run_pairs(pair).first()
     assert (r["reads"], r["shared_mapped"], r["within_10bp"], r["exact_pos"], r["b_only"]) == (2, 1, 1, 0, 1)
+
+
+# --- any length ---------------------------------------------------------------------
+
+
+def test_windows_over_several_chunks(spark):
+    seq = genome(31, 3000)
+    ch = index.chunks(contigs(spark, seq))
+    asked = [(0, s, n) for s, n in ((0, 10), (500, 600), (511, 1200), (100, 256), (100, 257), (2900, 600), (2999, 1), (500, 600))]
+    got = index.fetch(spark.createDataFrame(asked, "contig_id long, start long, size long"), ch, "start", "size").collect()
+    assert sorted((r["start"], r["size"], r["window"]) for r in got) == sorted((s, n, seq[s : s + n]) for _, s, n in asked)
+
+
+def test_patterns_of_any_length(spark):
+    seq = genome(32, 2500) + "ACG" * 400
+    ch = index.chunks(contigs(spark, seq))
+    for group in (["A", "ACG", seq[700:1000], seq[100:1400], "ACG" * 120, "GG"], [seq[300:900]], [""], ["T" * 700]):
+        pats = spark.createDataFrame([(p,) for p in group], "pattern string")
+        got = sorted((r["pattern"], r["pos"]) for r in search.occurrences(ch, pats).collect())
+        assert got == sorted((p, i) for p in set(group) if p for i in range(len(seq)) if seq.startswith(p, i))
+
+
+def test_mismatches_of_any_length(spark):
+    seq = genome(33, 2200)
+    change = lambda p, *at: "".join({"A": "C", "C": "G", "G": "T", "T": "A"}[c] if i in at else c for i, c in enumerate(p))
+    pats = [change(seq[300:900], 5, 400), change(seq[1000:1300], 299), seq[10:19], change(seq[50:1250], 0, 1199), *[seq[i : i + 12 + i] for i in range(0, 60, 7)]]
+    ch = index.chunks(contigs(spark, seq))
+    got = sorted((r["pattern"], r["pos"], r["mismatches"]) for r in search.mismatch_occurrences(ch, spark.createDataFrame([(p,) for p in pats], "pattern string"), 2).collect())
+    off = lambda p, i: sum(a != b for a, b in zip(p, seq[i : i + len(p)], strict=True))
+    assert got == sorted((p, i, off(p, i)) for p in pats for i in range(len(seq) - len(p) + 1) if off(p, i) <= 2)
+    with pytest.raises(ValueError):
+        search.mismatch_occurrences(ch, spark.createDataFrame([("AC",)], "pattern string"), 2)
+
+
+def test_chunks_take_time_in_proportion(spark):
+    """One pass over a contig: four times the bases take about four times as long, not sixteen."""
+    import time
+
+    took = []
+    for n in (2, 8):
+        df = spark.createDataFrame([(0, "c", "ACGTTGCA" * (n << 17))], "contig_id long, name string, seq string").cache()
+        df.count()
+        ch = index.chunks(df)
+        began = time.time()
+        assert ch.count() == (n << 20) // 512
+        assert ch.agg(F.sum(F.length("seq"))).first()[0] == (n << 20) + ((n << 20) // 512 - 1) * 256
+        took.append(time.time() - began)
+    assert took[1] < 12 * took[0] + 2, took
+
+
+def test_saved_index(spark, tmp_path):
+    df = contigs(spark, genome(41, 900), genome(42, 1500))
+    path = f"{tmp_path}/idx"
+    index.build_index(df, path, 16, 4, partitions=3)
+    ch, idx, freq, meta = index.open_index(spark, path, 16, 4)
+    fresh = index.kmer_index(index.chunks(df), 16, 4)
+    assert sorted(map(tuple, idx.select("kmer", "contig_id", "pos").collect())) == sorted(map(tuple, fresh.select("kmer", "contig_id", "pos").collect()))
+    assert (meta["bases"], meta["entries"]) == (2400, fresh.count()) and freq.agg(F.sum("freq")).first()[0] == fresh.count()
+    assert ch.count() == index.chunks(df).count()
+    for bad in ({"seed": 12}, {"stride": 1}):
+        with pytest.raises(ValueError, match="index at"):
+            index.open_index(spark, path, **bad)
+    assert (index.pick_stride(df, 1 << 30), index.pick_stride(df, 1000)) == (1, 4)
+
+
+def test_fm_table(spark, tmp_path):
+    seqs = [genome(51, 400), genome(52, 60) * 3, "", "ACGTACGTGACG"]
+    df = contigs(spark, *seqs)
+    suffix.write_fm(df, f"{tmp_path}/fm", 8)
+    table = suffix.open_fm(spark, f"{tmp_path}/fm")
+    pats = ["ACG", "GATTACA", seqs[0][50:80], seqs[1][:20]]
+    pd_ = spark.createDataFrame([(p,) for p in pats], "pattern string")
+    got = sorted((r["contig_id"], r["pattern"], tuple(r["positions"])) for r in suffix.fm_occurrences(table, pd_).collect())
+    spots = lambda s, p: tuple(i for i in range(len(s)) if s.startswith(p, i))
+    assert got == sorted((c, p, spots(s, p)) for c, s in enumerate(seqs) for p in pats if spots(s, p))
+    n = {(r["contig_id"], r["pattern"]): r["n"] for r in suffix.membership(table, pd_).collect()}
+    assert n == {(c, p): len(spots(s, p)) for c, s in enumerate(seqs) for p in pats}
+    assert sorted((r["contig_id"], r["seq"]) for r in suffix.inverted(table).collect()) == list(enumerate(seqs))
+    near = suffix.fm_occurrences(table, spark.createDataFrame([(seqs[0][50:64] + "A" + seqs[0][65:80],)], "pattern string"), 1).filter("contig_id = 0").collect()
+    assert 50 in {i for r in near for i in r["positions"]} and all(r["edits"] <= 1 for r in near)
+    table.withColumn("version", F.lit(9)).write.parquet(f"{tmp_path}/old")
+    with pytest.raises(Exception, match="version 9"):
+        suffix.open_fm(spark, f"{tmp_path}/old").collect()
+
+
+def test_lower_bounds_never_cut_a_match():
+    s = genome(61, 200)
+    fm = suffix.FMIndex(s)
+    for at in range(0, 180, 9):
+        p = s[at : at + 18]
+        assert fm.lower_bounds(p) == [0] * 18
+        wrong = p[:4] + "ACGT".replace(p[4], "")[0] + p[5:]
+        spots = {fm.locate(r) for lo, hi, e in fm.within(wrong, 1) for r in range(lo, hi)}
+        assert at in spots
+    assert fm.lower_bounds("A" * 60)[-1] >= 1
+
+
+def test_next_and_checksum(spark):
+    from strandmill.functions import sequence as S
+
+    df = spark.createDataFrame([("AAA", "AAC"), ("ACT", "AGA"), ("GTT", "TAA"), ("TTT", ""), ("T", "")], "s string, want string")
+    assert df.filter(S.next_dna("s") != F.col("want")).count() == 0
+    h = 1469598103934665603
+    for b in b"ACGT":
+        h = (h ^ b) * 1099511628211 % (1 << 64)
+    got = spark.createDataFrame([("ACGT",), ("",), (None,)], "s string").select(S.checksum("s")).collect()
+    assert [r[0] for r in got] == [h - (1 << 64) if h >> 63 else h, 1469598103934665603, None]

@@ -26,6 +26,32 @@ def test_fasta(spark, tmp_path):
         sequences.read_fasta(spark, p, "other")
 
 
+def test_fasta_headers_may_hold_the_mark(spark, tmp_path):
+    p = put(tmp_path, "m.fa", ">p1 (2->3)-beta enzyme\nACGT\nAC\n>p2>x y\nTT\n")
+    got = sequences.read_fasta(spark, p, full_header=True).orderBy("ordinal").collect()
+    assert [(r["name"], r["seq"]) for r in got] == [("p1 (2->3)-beta enzyme", "ACGTAC"), ("p2>x y", "TT")]
+    bad = put(tmp_path, "n.fa", "\nACGT\nACG\n>x\nAC\n")
+    with pytest.raises(ValueError, match="before the first header"):
+        sequences.read_fasta(spark, bad)
+    assert [(r["name"], r["seq"]) for r in sequences.read_fasta(spark, bad, "lenient").collect()] == [("x", "AC")]
+
+
+def test_indexed_open(spark, tmp_path):
+    p = put(tmp_path, "i.fa", FASTA)
+    records, fai = sequences.open_fasta(spark, p)
+    assert (tmp_path / "i.fa.fai").exists() and records.count() == 2
+    assert sorted(tuple(r) for r in fai.collect()) == [("chr1", 6, 13, 4, 6), ("chr2", 6, FASTA.index("TTTT"), 4, 5)]
+    before = (tmp_path / "i.fa.fai").stat().st_mtime_ns
+    assert sequences.open_fasta(spark, p)[1].count() == 2 and (tmp_path / "i.fa.fai").stat().st_mtime_ns == before
+    assert sequences.read_whole(spark, p).first()["text"] == FASTA
+
+
+def test_first_reads(spark, tmp_path):
+    p = put(tmp_path, "f.fq", "".join(f"@r{i}\nAC\n+\nII\n" for i in range(30)))
+    got = sequences.first_reads(sequences.read_fastq(spark, p, split_bytes=50), 7).collect()
+    assert [r["name"] for r in got] == [f"r{i}" for i in range(7)]
+
+
 def test_fai(spark, tmp_path):
     p = put(tmp_path, "a.fa", FASTA)
     got = [tuple(r)[1:] for r in sequences.build_fai(spark, p).collect()]
