@@ -101,11 +101,11 @@ def map_reads(reads: DataFrame, ref_chunks: DataFrame, index: DataFrame, k: int,
 
 
 def with_cigars(mapped: DataFrame, ref_chunks: DataFrame, k: int) -> DataFrame:
-    """Adds cigar and alt_cigar; only reported hits are fetched and aligned."""
+    """Adds cigar and alt_cigar, each with the edit distance of its alignment; only reported hits are fetched and aligned."""
     out = mapped
     for p in ("", "alt_"):
         want = mapped.filter(F.col(f"{p}contig_id").isNotNull()).select("read_id", F.col(f"{p}contig_id").alias("contig_id"), (F.col(f"{p}pos") - 1).alias("start"), F.col(f"{p}ref_len").alias("size"), F.when(F.col(f"{p}strand") == "-", reverse_complement(normalize("seq"))).otherwise(normalize("seq")).alias("oseq"))
         got = fetch(want, ref_chunks, "start", "size")
-        got = got.select("read_id", banded_align("oseq", "window", k).alias("a")).select("read_id", F.col("a.cigar").alias(f"{p}cigar"))
+        got = got.select("read_id", banded_align("oseq", "window", k).alias("a")).select("read_id", F.col("a.cigar").alias(f"{p}cigar"), F.col("a.edit").alias(f"{p}cigar_edit"))
         out = out.join(got, "read_id", "left")
     return out

@@ -329,6 +329,16 @@ def map_records_cigar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapper.with_cigars(mapped, ch, 1).select("read_id", mapped_line().alias("line"))
 
 
+@query(f"""WITH m AS ({_map_sql(1)}) SELECT m.read_id, m.chrom, m.pos, m.alt_chrom, m.alt_pos, CASE WHEN m.chrom = '*' THEN -1 ELSE CAST(length(r.seq) AS BIGINT) END AS query_len, CASE WHEN m.chrom = '*' THEN -1 ELSE CAST(m.ref_len AS BIGINT) END AS cigar_ref_len, m.edit AS cigar_edit
+FROM m JOIN ({_R.replace("b0 AS", "WITH b0 AS", 1)} SELECT * FROM r) r USING (read_id)""")
+def map_records_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the CIGARs of mapped reads cover, and the edit distance of the alignments behind them."""
+    mapped, ch = _mapped(spark, sf_dir, 1)
+    lines = mapper.with_cigars(mapped, ch, 1)
+    lengths = [F.coalesce(f("cigar"), F.lit(-1)).alias(n) for f, n in ((C.query_length, "query_len"), (C.reference_length, "cigar_ref_len"))]
+    return lines.select("read_id", *[F.coalesce(c, F.lit(v)).alias(c) for c, v in (("chrom", "*"), ("pos", 0), ("alt_chrom", "*"), ("alt_pos", 0))], *lengths, F.coalesce("cigar_edit", F.lit(-1)).alias("cigar_edit"))
+
+
 @query()
 def map_seeded_k1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The capped mode (tested against exhaustive mode)."""
@@ -470,6 +480,16 @@ for _name, _kind in (("align_edit", "edit"), ("align_weighted", "weighted"), ("a
     QUERIES[_name] = _aligned(_kind)
 
 
+@query(f"WITH {_R} SELECT a.read_id, b.read_id AS next_id, CAST(levenshtein(a.seq, b.seq) AS INTEGER) AS edit, CAST(levenshtein(a.seq, b.seq) AS INTEGER) AS halved, true AS whole FROM r a JOIN r b ON b.read_id = a.read_id + 1")
+def align_edit_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Costs of both edit alignments, and whether their rows without gaps are the reads."""
+    a, b = (align.align(kind, "x", "y").alias(kind) for kind in ("edit", "hirschberg"))
+    rows = _pairs(spark, sf_dir).select("read_id", "next_id", "x", "y", a, b)
+    bare = lambda c: F.replace(c, F.lit("-"), F.lit(""))
+    whole = [bare(F.col(f"{kind}.aligned_{v}")) == F.col(v) for kind in ("edit", "hirschberg") for v in "xy"]
+    return rows.select("read_id", "next_id", F.col("edit.score").alias("edit"), F.col("hirschberg.score").alias("halved"), (whole[0] & whole[1] & whole[2] & whole[3]).alias("whole"))
+
+
 # --- suffix structures -------------------------------------------------------------
 
 # no SQL for the first four: DuckDB would write out and sort every suffix of a text; tested against brute force

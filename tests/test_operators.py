@@ -438,3 +438,23 @@ def test_next_and_checksum(spark):
         h = (h ^ b) * 1099511628211 % (1 << 64)
     got = spark.createDataFrame([("ACGT",), ("",), (None,)], "s string").select(S.checksum("s")).collect()
     assert [r[0] for r in got] == [h - (1 << 64) if h >> 63 else h, 1469598103934665603, None]
+
+
+def test_bands_side_by_side():
+    """Many pairs at once give what each gives alone, ties included."""
+    import random
+
+    r = random.Random(12)
+    for k in range(4):
+        pairs = []
+        for _ in range(400):
+            x = "".join(r.choice("ACGTN") for _ in range(r.randrange(0, 24)))
+            y = list(x)
+            for _ in range(r.randrange(0, k + 2)):
+                i = r.randrange(0, len(y) + 1)
+                y[i : i + r.randrange(0, 2)] = r.choice(["", "A", "C"])
+            pairs.append((x, "".join(y)))
+        edit, cigar = align.banded_all([x for x, _ in pairs], [y for _, y in pairs], k)
+        for (x, y), e, c in zip(pairs, edit.tolist(), cigar, strict=True):
+            want = align.banded(x, y, k)
+            assert (e, c) == ((-1, "") if want is None else want), (x, y, k)
