@@ -1,8 +1,9 @@
 """Line-first quality rules.
 
-Each line is judged on its own: punctuation (words that end in runs of marks,
-or symbols strewn over the words), navigation (menus of bars and arrows) and
-boilerplate (licence and site phrases). Failing lines go; then a document is
+Each line is judged on its own: punctuation (no mark that ends a sentence behind its
+last word, words that end in runs of marks, or symbols strewn over the words),
+navigation (menus of bars and arrows, lines that are mostly addresses) and boilerplate
+(licence and site phrases). Failing lines go; then a document is
 rejected if it lost more than ``max_loss`` of its word characters, or if a base
 rule fails (too few words, or too many words in repeated 8-word windows).
 
@@ -28,6 +29,11 @@ LEAST_WORDS, WINDOW, MOST_REPEATED = 20, 8, 30
 MAX_LOSS = 0.5
 #: Phrases that make a line boilerplate, in lower case.
 PHRASES = ("all rights reserved", "privacy policy", "terms of use", "terms of service", "accept cookies", "cookie policy", "licensed under", "released under the", "click here", "lorem ipsum", "enable javascript")
+#: Starts of web addresses; a line with one for every two words is navigation.
+LINKS = ("http://", "https://", "www.")
+#: Marks that end a sentence, and what may close after them.
+ENDS = (".", "!", "?", ":", ";", "…", "。", "！", "？", "।", "؟", "۔", "։", "።")
+CLOSERS = ('"', "'", ")", "]", "»", "”", "’", "“", "」", "）")
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[np.frombuffer(b"#*$%&|<>", np.uint8)] = True
 _SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_lines long, n_removed_lines long, lost_chars long, clean_sha256 string"
@@ -58,6 +64,18 @@ def repeat_words(h: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
     return np.bincount(doc, np.cumsum(cover)[:-1] > 0, n_docs).astype(np.int64)
 
 
+def _stands_before(data: np.ndarray, at: np.ndarray, marks: tuple[str, ...]) -> np.ndarray:
+    """Length in bytes of the mark that ends at each position, 0 if there is none."""
+    out = np.zeros(len(at), np.int64)
+    for mark in marks:
+        raw = np.frombuffer(mark.encode(), np.uint8)
+        same = at >= len(raw)
+        for k, byte in enumerate(raw[::-1], 1):
+            same &= data[np.maximum(at - k, 0)] == byte
+        out[same] = len(raw)
+    return out
+
+
 def judge(data: np.ndarray, offs: np.ndarray, max_loss: float = MAX_LOSS) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
     """Columns of a slice of documents, and its lines: starts, ends, removed."""
     n_docs = len(offs) - 1
@@ -95,16 +113,26 @@ def judge(data: np.ndarray, offs: np.ndarray, max_loss: float = MAX_LOSS) -> tup
     strewn = _SYMBOLS[data] & (data != 124) & (data != 62)
     bars = (data == 124) | (data == 62)
     some = np.maximum(line_words, 1)
-    punctuation = (count(run) > 0.3 * some) | (count(strewn) > 0.5 * some)
-    navigation = (count(bars) >= 3) & (count(bars) > 0.2 * some)
-    boiler = np.zeros(len(ends), bool)
+    tail = we[wacc[1][has] - 1]
+    for _ in range(2):
+        tail = tail - _stands_before(data, tail, CLOSERS)
+    open_end = np.zeros(len(ends), bool)
+    open_end[has] = _stands_before(data, tail, ENDS) == 0
     low = LOWER[data].tobytes()
-    for phrase in PHRASES:
-        p, at = phrase.encode(), low.find(phrase.encode())
-        while at >= 0:
-            line = int(np.searchsorted(starts, at, side="right")) - 1
-            boiler[line] |= at + len(p) <= ends[line]
-            at = low.find(p, at + len(p))
+
+    def holds(phrases: tuple[str, ...]) -> np.ndarray:
+        found = np.zeros(len(ends), np.int64)
+        for phrase in phrases:
+            p, at = phrase.encode(), low.find(phrase.encode())
+            while at >= 0:
+                line = int(np.searchsorted(starts, at, side="right")) - 1
+                found[line] += at + len(p) <= ends[line]
+                at = low.find(p, at + len(p))
+        return found
+
+    punctuation = open_end | (count(run) > 0.3 * some) | (count(strewn) > 0.5 * some)
+    navigation = ((count(bars) >= 3) & (count(bars) > 0.2 * some)) | (2 * holds(LINKS) >= some)
+    boiler = holds(PHRASES) > 0
     removed = has & (punctuation | navigation | boiler)
     cols["n_lines"] = np.bincount(line_doc, minlength=n_docs)
     cols["n_removed_lines"] = np.bincount(line_doc[removed], minlength=n_docs)

@@ -320,7 +320,12 @@ def brute_lines(text):
         strewn = sum(c in "#*$%&<" for c in line)
         bars = sum(c in "|>" for c in line)
         low = "".join(c.lower() if c.isascii() else c for c in line)
-        bad = runs > 0.3 * n or strewn > 0.5 * n or (bars >= 3 and bars > 0.2 * n) or any(p in low for p in phrases)
+        last = words[-1]
+        for _ in range(2):
+            last = last[:-1] if last[-1:] and last[-1] in "\"')]»”’“」）" else last
+        open_end = not last or last[-1] not in ".!?:;…。！？।؟۔։።"
+        links = sum(low.count(x) for x in ("http://", "https://", "www."))
+        bad = open_end or runs > 0.3 * n or strewn > 0.5 * n or (bars >= 3 and bars > 0.2 * n) or 2 * links >= n or any(p in low for p in phrases)
         size = sum(map(len, words))
         chars += size
         gone += bad
@@ -333,7 +338,7 @@ def test_quality_verdicts(spark):
 
     r = random.Random(5)
     bits = ["Click HERE now", "a | b | c > d", "wow!!", "really?! no!?", "$5 #1 *x", "&&& %%%", "a|b", "Terms of\tuse", "privacy policy é", "licensed under", "", " ", "x > y"]
-    texts = ["\n".join(r.choice([prose(r.randrange(999), r.randrange(1, 30)), r.choice(bits), f"{r.choice(bits)} {r.choice(bits)} {prose(r.randrange(99), r.randrange(0, 6))}"]) for _ in range(r.randrange(1, 14))) for _ in range(300)]
+    texts = ["\n".join(r.choice([prose(r.randrange(999), r.randrange(1, 30)), r.choice(bits), f"{r.choice(bits)} {r.choice(bits)} {prose(r.randrange(99), r.randrange(0, 6))}"]) + r.choice([".", ".", ".", "", "!", "。»", '."', "”)", "¿", ": see https://x.y", "…'"]) for _ in range(r.randrange(1, 14))) for _ in range(300)]
     got = quality.quality_rules(frame(spark, [(i, t, "en", "a", 1, "", "", "", "") for i, t in enumerate(texts)])).collect()
     kept = 0
     for row in got:
