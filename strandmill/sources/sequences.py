@@ -166,7 +166,7 @@ def _checked(records: DataFrame, mode: str) -> DataFrame:
     else:
         for test, _ in faults:
             records = records.filter(~F.coalesce(test, F.lit(False)))
-    return records.select("file", "read_id", short_name(F.substring("h", 2, 1 << 20)).alias("name"), "seq", "qual")
+    return records.select("file", "read_id", short_name(F.expr("substring(h, 2)")).alias("name"), "seq", "qual")
 
 
 def build_fai(spark: SparkSession, path: str) -> DataFrame:

@@ -23,7 +23,7 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.text(path).filter(~F.col("value").startswith("@") & (F.size(part) >= 11)).select(part.alias("f"))
     names = ["qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual"]
     kinds = {"flag": "int", "pos": "long", "mapq": "int", "pnext": "long", "tlen": "long"}
-    return rows.select(*[F.try_element_at("f", F.lit(i + 1)).try_cast(kinds.get(n, "string")).alias(n) for i, n in enumerate(names)], F.slice("f", 12, 10_000).alias("tags"))
+    return rows.select(*[F.try_element_at("f", F.lit(i + 1)).try_cast(kinds.get(n, "string")).alias(n) for i, n in enumerate(names)], F.slice("f", F.lit(12), F.greatest(F.size("f") - 11, F.lit(0))).alias("tags"))
 
 
 def read_mapper_output(spark: SparkSession, path: str) -> DataFrame:

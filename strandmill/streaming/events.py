@@ -27,5 +27,5 @@ def stream_fastq(spark: SparkSession, path: str) -> DataFrame:
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(path)
     text = F.regexp_replace(F.regexp_replace(F.decode("content", "UTF-8"), "\r", ""), "\n$", "")
     lines = files.select("path", F.split(text, "\n").alias("l"))
-    records = F.transform(F.sequence(F.lit(0), F.floor(F.size("l") / 4).cast("int") - 1), lambda i: F.struct(i.cast("long").alias("read_id"), F.regexp_extract(F.substring(F.col("l")[i * 4], 2, 1 << 20), "^[^ \t]*", 0).alias("name"), F.col("l")[i * 4 + 1].alias("seq"), F.col("l")[i * 4 + 3].alias("qual")))
+    records = F.transform(F.sequence(F.lit(0), F.floor(F.size("l") / 4).cast("int") - 1), lambda i: F.struct(i.cast("long").alias("read_id"), F.regexp_extract(F.col("l")[i * 4], "^.([^ \t]*)", 1).alias("name"), F.col("l")[i * 4 + 1].alias("seq"), F.col("l")[i * 4 + 3].alias("qual")))
     return lines.filter(F.size("l") >= 4).select("path", F.explode(records).alias("r")).select("path", "r.*")
