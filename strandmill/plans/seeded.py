@@ -158,8 +158,10 @@ def seeded_hits(reads: DataFrame, ref_chunks: DataFrame, index: DataFrame, k: in
 
     both = oriented(reads)
     longest = reads.agg(F.max(F.length("seq"))).first()[0]
+    planned = planned_seeds(both, k, seed, stride)
+    index = index.join(planned.select("kmer").distinct(), "kmer", "left_semi")
     freqs = index.groupBy("kmer").agg(F.count("*").alias("freq"))
-    seeds = chosen_seeds(planned_seeds(both, k, seed, stride), freqs, k)
+    seeds = chosen_seeds(planned, freqs, k)
     sizes = ref_chunks.filter("chunk_id = 0").select("contig_id", "length")
     quick = None
     if k <= 1:

@@ -233,7 +233,8 @@ def _seeds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     idx = index.kmer_index(ch, 16, 4)
     both = mapper.oriented(reads(spark, sf_dir))
     found = both.select("read_id", "strand", F.explode(S.kmers("oseq", 16, 4)).alias("x")).select("read_id", "strand", F.col("x.off").cast("long").alias("off"), "x.kmer").withColumn("seed_no", F.floor(F.col("off") / 4))
-    hits = anchors.seed_hits(found, idx, index.frequencies(idx))
+    near = idx.join(found.select("kmer").distinct(), "kmer", "left_semi")  # entries that no seed asks for go before the counts
+    hits = anchors.seed_hits(found, near, index.frequencies(near))
     lengths = reads(spark, sf_dir).select("read_id", F.length("seq").alias("n"))
     return hits, lengths, ch.filter("chunk_id = 0").select("contig_id", "length")
 
