@@ -43,3 +43,38 @@ def write_key_values(df: DataFrame, path: str) -> None:
 def percent(part: Column, whole: Column) -> Column:
     """A percentage with two decimals, as reports print it."""
     return F.format_string("%.2f", F.coalesce(F.try_divide(100.0 * part, whole), F.lit(0.0)))
+
+
+#: Fixed lines of the statistics report.
+RULE, DASHES, TITLE = "=" * 44, "-" * 44, "       SUMMARY GENOMIC ANALYSIS"
+
+
+def statistics_lines(total: DataFrame, each: DataFrame | None = None, reads: bool = False) -> DataFrame:
+    """The statistics report as rows (section, name, line_no, value), to be read in that order.
+
+    ``total`` is the row of :func:`strandmill.operators.stats.global_stats`, ``each``
+    the table of :func:`per_sequence`, by name; reports of reads also give lengths.
+    """
+    two = lambda c: F.concat(F.format_string("%.2f", F.coalesce(F.col(c), F.lit(0.0))), F.lit("%"))
+    said = lambda label, c: F.concat(F.lit(label), F.coalesce(c.cast("string"), F.lit("0")))
+
+    def rows(df: DataFrame, section: int, name: Column, lines: list[Column]) -> DataFrame:
+        return df.select(F.lit(section).alias("section"), name.alias("name"), F.posexplode(F.array(*lines)).alias("line_no", "value"))
+
+    bp = lambda label, c: F.concat(said(label, F.col(c)), F.lit(" bp"))
+    foot = [F.lit("GLOBAL SUMMARY:"), bp("  > Total length: ", "total"), F.concat(F.lit("  > Total GC content: "), two("gc_pct"))]
+    if reads:
+        foot += [bp("  > Minimum read: ", "shortest"), bp("  > Maximum read: ", "longest"), bp("  > Avg length read: ", "mean")]
+    head = [F.lit(RULE), F.lit(TITLE), F.lit(RULE), said("Number of processed sequences: ", F.col("n_seqs"))]
+    body = [said("ID: ", F.col("name")), bp("  > Length: ", "length"), F.concat(F.lit("  > GC content: "), two("gc_pct")), F.lit("")]
+    if each is not None or reads:
+        (foot.insert(0, F.lit(DASHES)) if reads else head.append(F.lit(DASHES)))
+    if each is not None:
+        (head if reads else body).append(F.lit(DASHES))
+    out = rows(total, 0, F.lit(""), head).unionByName(rows(total, 2, F.lit(""), [*foot, F.lit(RULE)]))
+    return out if each is None else out.unionByName(rows(each, 1, F.col("name"), body))
+
+
+def write_statistics(total: DataFrame, path: str, each: DataFrame | None = None, reads: bool = False) -> None:
+    """The statistics report as text, its lines in order over the part files."""
+    statistics_lines(total, each, reads).orderBy("section", "name", "line_no").select("value").write.text(path)

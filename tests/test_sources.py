@@ -133,3 +133,21 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r["user_id"], r["n_events"]) for r in spark.sql("select * from ses").collect()) == [(1, 1), (1, 2), (2, 1)]
+
+
+def test_statistics_report(spark, tmp_path):
+    from strandmill.operators import stats
+
+    df = spark.createDataFrame([("b", 0, "ACGG"), ("a", 1, "TTTTTC")], "name string, ordinal int, seq string")
+    lines = lambda **how: [r["value"] for r in writers.statistics_lines(stats.global_stats(df), **how).orderBy("section", "name", "line_no").collect()]
+    rule, dashes = "=" * 44, "-" * 44
+    head = [rule, "       SUMMARY GENOMIC ANALYSIS", rule, "Number of processed sequences: 2"]
+    one = lambda n, size, gc: [f"ID: {n}", f"  > Length: {size} bp", f"  > GC content: {gc}%", ""]
+    foot = ["GLOBAL SUMMARY:", "  > Total length: 10 bp", "  > Total GC content: 40.00%"]
+    assert lines() == [*head, *foot, rule]
+    assert lines(each=stats.per_sequence(df)) == [*head, dashes, *one("a", 6, "16.67"), dashes, *one("b", 4, "75.00"), dashes, *foot, rule]
+    lengths = ["  > Minimum read: 4 bp", "  > Maximum read: 6 bp", "  > Avg length read: 5 bp"]
+    assert lines(each=stats.per_sequence(df, "first"), reads=True) == [*head, dashes, *one("a", 6, "16.67"), *one("b", 4, "75.00"), dashes, *foot, *lengths, rule]
+    assert lines(reads=True) == [*head, dashes, *foot, *lengths, rule]
+    writers.write_statistics(stats.global_stats(df), str(tmp_path / "s"), stats.per_sequence(df))
+    assert spark.read.text(str(tmp_path / "s")).count() == 19
