@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from strandmill.llm.common import bounded_batches, text_slices
 
 PER_LANG, BUCKET_BITS, PENALTY, SMOOTH = 1500, 16, 12.0, 0.3
+#: More labels than this are an error: the model holds 2**BUCKET_BITS numbers for each.
+MOST_LANGS = 1000
 #: Script ranges by first code point of each block group; 0 stands for any other.
 SCRIPTS = ((0x41, 1), (0x250, 0), (0x370, 2), (0x400, 3), (0x530, 4), (0x590, 5), (0x600, 6), (0x700, 0), (0x900, 7), (0x980, 8), (0xA00, 9), (0xE00, 10), (0xE80, 0), (0x10A0, 11), (0x1100, 12), (0x1200, 0), (0x1E00, 1), (0x1F00, 2), (0x2000, 0), (0x3040, 13), (0x3100, 0), (0x3400, 14), (0xA000, 0), (0xAC00, 12), (0xD7B0, 0), (0xF900, 14), (0xFB00, 0), (0x20000, 14), (0x323B0, 0))
 N_SCRIPTS = 15
@@ -123,7 +125,9 @@ def fit(df: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col:
     """
     df = bounded_batches(df)
     known = df.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGS + 1).collect()}
+    if len(sizes) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages; a model of so many does not fit a worker")
     langs = sorted(sizes)
     if not langs:
         return Model([], np.zeros((1 << BUCKET_BITS, 0), np.float32), np.zeros((N_SCRIPTS, 0), bool), 0)

@@ -483,3 +483,9 @@ def test_rows_of_one_hash_are_cut_evenly(spark):
     got = sharding.extendible_shards(frame(spark, data).repartition(3), max_bytes=500).collect()
     assert len(got) == 250 and not any(r["oversize"] for r in got)
     assert len({r["shard"] for r in got if r["doc_id"] is None}) > 10
+
+
+def test_too_many_languages_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MOST_LANGS", 3)
+    with pytest.raises(ValueError, match="languages"):
+        language_id.fit(frame(spark, [(i, prose(i, 20), f"l{i}", "a", 1, "", "", "", "") for i in range(30)]))
