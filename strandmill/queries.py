@@ -558,3 +558,6 @@ SELECT case_id, runs, best, mean, 1000000.0::DOUBLE / mean AS reads_per_s, max(m
 def runtime_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(F.concat(F.lit("case"), F.col("o_orderkey") % 5).alias("case_id"), (1.0 + F.col("o_orderkey") % 97).alias("real"))
     return evaluate.timing_summary(o, 1_000_000)
+
+
+from strandmill import file_queries  # noqa: E402, F401  registers its queries here
