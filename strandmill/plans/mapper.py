@@ -1,11 +1,12 @@
-"""Read mapping as one lazy plan.
+"""Read mapping.
 
 ``exhaustive`` mode is complete: of k + 1 disjoint pieces of a read one is free of
 errors, so seeds from every piece (as many as the index stride) meet the index on a
 k-mer; the windows around each diagonal are fetched by one equi-join and kept if
 their edit distance is within k. ``seeded`` mode applies the usual caps instead:
 frequency tiers, a spaced choice of seeds, sampled occurrences, clusters and
-top-n cuts (see :mod:`strandmill.plans.seeded`).
+top-n cuts (see :mod:`strandmill.plans.seeded`); its seeds are staged when it is called,
+while an exhaustive plan is lazy.
 
 Both report at most two hits for each read: the best by (edit, contig name,
 position, strand), and the best that is not within ``tolerance`` of it.
@@ -48,13 +49,13 @@ def candidate_starts(seeds: DataFrame, index: DataFrame, k: int) -> DataFrame:
 
 
 def score_windows(starts: DataFrame, both: DataFrame, ref_chunks: DataFrame, k: int, longest: int | None = None) -> DataFrame:
-    """read_id, strand, contig_id, start, edit, ref_len: the least distance of any window length at a start, shortest first."""
+    """``starts`` (read_id, strand, contig_id, start, ...) with edit and ref_len: the least distance of any window length at a start, shortest first."""
     held = starts.join(both, ["read_id", "strand"]).withColumn("n", F.length("oseq"))
     got = fetch(held.withColumn("size", F.col("n") + k), ref_chunks, "start", "size", "window", longest=longest and longest + k)
     lens = F.filter(F.sequence(F.greatest(F.lit(1), F.col("n") - k), F.col("n") + k), lambda m: m <= F.length("window"))
     scored = F.transform(lens, lambda m: F.struct(edit_within("oseq", F.col("window").substr(F.lit(1), m), k).alias("edit"), m.alias("ref_len")))
     best = F.array_min(F.filter(scored, lambda s: s["edit"] >= 0))
-    return got.select("read_id", "strand", "contig_id", "start", best.alias("b")).filter("b IS NOT NULL").select("read_id", "strand", "contig_id", "start", "b.edit", "b.ref_len")
+    return got.select(*starts.columns, best.alias("b")).filter("b IS NOT NULL").select(*starts.columns, "b.edit", "b.ref_len")
 
 
 def top_two(hits: DataFrame, names: DataFrame, tolerance: int | Column = TOLERANCE, same_edit: bool = False) -> DataFrame:

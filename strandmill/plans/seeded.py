@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from strandmill.functions.sequence import mismatches
 from strandmill.operators.index import fetch
 from strandmill.plans import anchors as A
+from strandmill.sources.shared import stage
 
 #: Fixed caps of this mode.
 SEED_TARGET = {0: 10, 1: 12, 2: 14, 3: 16}
@@ -137,7 +138,8 @@ def quick_hits(seeds: DataFrame, index: DataFrame, both: DataFrame, ref_chunks:
     got = got.withColumn("new", apart.cast("int"))
     upto = W.partitionBy("read_id", "strand").orderBy("place").rowsBetween(W.unboundedPreceding, 0)
     got = got.withColumn("done", ((F.min("edit").over(upto) == 0) | (F.sum("new").over(upto) >= 2)).cast("int"))
-    got = got.withColumn("closed", F.sum("done").over(upto))
+    kept = ["read_id", "strand", "contig_id", "start", "edit", "n", "done"]
+    got = stage(got.select(*kept, F.sum("done").over(upto).alias("closed")), "quick")
     settled = got.filter("done = 1").select("read_id", "strand").distinct()
     hits = got.filter("closed <= 1").select("read_id", "strand", "contig_id", "start", "edit", F.col("n").alias("ref_len"))
     return hits, settled
@@ -159,9 +161,10 @@ def seeded_hits(reads: DataFrame, ref_chunks: DataFrame, index: DataFrame, k: in
     both = oriented(reads)
     longest = reads.agg(F.max(F.length("seq"))).first()[0]
     planned = planned_seeds(both, k, seed, stride)
-    index = index.join(planned.select("kmer").distinct(), "kmer", "left_semi")
+    # each of these is used more than once
+    index = stage(index.join(planned.select("kmer").distinct(), "kmer", "left_semi"), "index")
     freqs = index.groupBy("kmer").agg(F.count("*").alias("freq"))
-    seeds = chosen_seeds(planned, freqs, k)
+    seeds = stage(chosen_seeds(planned, freqs, k), "seeds")
     sizes = ref_chunks.filter("chunk_id = 0").select("contig_id", "length")
     quick = None
     if k <= 1:
@@ -171,9 +174,8 @@ def seeded_hits(reads: DataFrame, ref_chunks: DataFrame, index: DataFrame, k: in
     lengths = reads.select("read_id", F.length("seq").alias("n"))
     best = A.best_clusters(A.cluster(A.merge(A.expand(hits, lengths, k)), k))
     starts = best.select("read_id", "strand", "contig_id", "n_seeds", "freq", "rep", F.explode(F.sequence(F.greatest(F.col("rep") - k, F.lit(0)), F.col("rep") + k)).alias("start"))
-    scored = score_windows(starts.select("read_id", "strand", "contig_id", "start").distinct(), both, ref_chunks, k, longest)
-    joined = starts.join(scored, ["read_id", "strand", "contig_id", "start"])
-    one = joined.groupBy("read_id", "strand", "contig_id", "rep").agg(F.max("n_seeds").alias("n_seeds"), F.min("freq").alias("freq"), F.min(F.struct("edit", "start", "ref_len")).alias("b"))
+    scored = score_windows(starts, both, ref_chunks, k, longest)
+    one = scored.groupBy("read_id", "strand", "contig_id", "rep").agg(F.max("n_seeds").alias("n_seeds"), F.min("freq").alias("freq"), F.min(F.struct("edit", "start", "ref_len")).alias("b"))
     strand = W.partitionBy("read_id", "strand")
     kept = one.withColumn("place", F.row_number().over(strand.orderBy(F.col("b.edit"), F.desc("n_seeds"), "freq", "rep"))).filter(F.col("place") <= TOP_PREFILTER)
     kept = kept.withColumn("least", F.min("b.edit").over(strand)).filter((F.col("place") <= TOP_VERIFY) & (F.col("b.edit") <= F.col("least") + 1))

@@ -151,3 +151,26 @@ def test_statistics_report(spark, tmp_path):
     assert lines(reads=True) == [*head, dashes, *foot, *lengths, rule]
     writers.write_statistics(stats.global_stats(df), str(tmp_path / "s"), stats.per_sequence(df))
     assert spark.read.text(str(tmp_path / "s")).count() == 19
+
+
+def test_staged_tables(spark):
+    from strandmill.sources.shared import shared_folder, stage
+
+    one, two = shared_folder(spark), shared_folder(spark)
+    assert one != two
+    rows = spark.createDataFrame([(1, None), (2, ["a"])], "a INT, b ARRAY<STRING>")
+    staged = stage(rows, "rows")
+    assert staged.schema == rows.schema and sorted(staged.collect()) == sorted(rows.collect())
+    assert stage(rows.limit(0), "none").collect() == []
+
+
+def test_shared_folder_needs_a_store_on_a_cluster():
+    import types
+
+    from strandmill.sources.shared import shared_folder
+
+    conf = types.SimpleNamespace(get=lambda key, default: default)
+    for master in ("spark://host:7077", "local-cluster[3,2,1024]", "yarn"):
+        context = types.SimpleNamespace(getCheckpointDir=lambda: None, master=master, applicationId="x")
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_folder(types.SimpleNamespace(conf=conf, sparkContext=context))
