@@ -6,10 +6,15 @@ import atexit
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from contextvars import ContextVar
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -96,19 +101,79 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     schema = df.schema
+    with _shuffles_go(spark):
+        df.write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+@contextmanager
+def _shuffles_go(spark: SparkSession):
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        yield
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(schema).parquet(path)
 
 
 #: Bytes of one Arrow batch between the JVM and a Python worker; both hold a batch or two at once.
 BATCH_BYTES = 8 << 20
 
 
+def _write_parquet(uri: str, body: Callable, schema: pa.Schema):
+    """mapInArrow body: what ``body`` yields, in one file under ``uri``; gives the file's name, if there are rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = pafs.FileSystem.from_uri(uri)
+        name, out, held, size = f"part-{uuid.uuid4().hex}.parquet", None, [], 0
+        try:
+            for batch in chain(body(batches), [None]):
+                if batch is not None and len(batch):
+                    held.append(batch)
+                    size += held[-1].nbytes
+                if held and (batch is None or size >= BATCH_BYTES):
+                    out = out or pq.ParquetWriter(f"{base}/{name}", schema, filesystem=fs)
+                    out.write_table(pa.Table.from_batches(held).cast(schema))
+                    held, size = [], 0
+        finally:
+            if out is not None:
+                out.close()
+        if out is not None:
+            yield pa.RecordBatch.from_pydict({"file": [name]})
+
+    return run
+
+
+def stage_mapped(df: DataFrame, body: Callable, schema: pa.Schema, sql: str, name: str) -> DataFrame:
+    """``stage(df.mapInArrow(body, sql), name)`` whose rows do not pass through the JVM: the Python
+    tasks write the files. ``schema`` is that of ``sql`` in Arrow; other columns of ``body`` are left out.
+
+    Only files that a task has reported count, so failed and repeated attempts add nothing. On
+    local files this also saves the ``chmod`` processes that Hadoop starts for each file and
+    folder, whose start doubles the JVM's memory for whoever reads it in that instant. A store
+    that pyarrow does not open is written to by Spark.
+    """
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in body(batches):
+            yield batch.select(schema.names)
+
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    tried = f"{path}/_tried"
+    try:
+        fs, base = pafs.FileSystem.from_uri(path)
+        fs.create_dir(f"{base}/_tried")
+    except (OSError, ValueError, NotImplementedError):
+        return stage(df.mapInArrow(chosen, sql), name)
+    with _shuffles_go(spark):
+        files = df.mapInArrow(_write_parquet(tried, chosen, schema), "file string").collect()
+    for r in files:
+        fs.move(f"{base}/_tried/{r['file']}", f"{base}/{r['file']}")
+    fs.delete_dir(f"{base}/_tried")
+    return spark.read.schema(sql).parquet(path)
+
+
 def bounded_batches(df: DataFrame) -> DataFrame:
     """``df``, whose session sends Arrow batches of at most ``BATCH_BYTES`` from now on, unless it sets a size of its own."""
     key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf

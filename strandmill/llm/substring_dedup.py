@@ -46,7 +46,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandmill.llm.common import bounded_batches, only_repeated, stage, text_slices, unique_rows
+from strandmill.llm.common import bounded_batches, only_repeated, stage, stage_mapped, text_slices, unique_rows
 from strandmill.llm.textscan import gram_hash, span_hash, word_spans
 
 WINDOW, PREFIX = 20, 10
@@ -139,6 +139,8 @@ def _repeated_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     yield from passed
 
 
+_ANCHOR = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("part", pa.int32()), ("loc", pa.int64())])
+_ANCHOR_SQL = "key long, doc_id long, part int, loc long"
 _SEGMENT = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("part", pa.int32()), ("loc", pa.int64()), ("segment", pa.binary()), ("repeats", pa.int64())])
 _SEGMENT_SQL = "key long, doc_id long, part int, loc long, segment binary, repeats long"
 
@@ -246,6 +248,7 @@ def subtree_repeats(rows: list[tuple]) -> list[tuple]:
 
 
 _MARK = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("start", pa.int64()), ("n", pa.int64())])
+_MARK_SQL = "doc_id long, part int, start long, n long"
 
 
 def _subtrees(limit: int):
@@ -312,29 +315,27 @@ def partition_by_prefix(segments: DataFrame, limit: int) -> tuple[DataFrame, Dat
         settled.append(left.join(large, here, "left_anti"))
         left = left.join(large, here, "left_semi")
         if depth is not None:
-            left = stage(left.mapInArrow(_lengthen(depth), _SEGMENT_SQL), f"prefix-{depth}")
+            left = stage_mapped(left, _lengthen(depth), _SEGMENT, _SEGMENT_SQL, f"prefix-{depth}")
     return reduce(DataFrame.unionByName, settled), left
 
 
 def repeated_windows(rows: DataFrame, limit: int = GROUP_SEGMENTS) -> DataFrame:
     """Repeats in (doc_id, part, text): runs of ``n`` repeated windows from word ``start`` on."""
-    anchor = "key long, doc_id long, part int, loc long, known boolean"
-    found = rows.mapInArrow(_find_anchors, anchor)
+    found = rows.mapInArrow(_find_anchors, f"{_ANCHOR_SQL}, known boolean")
     deal = F.when(F.col("known"), F.xxhash64("doc_id", "part", "loc")).otherwise(F.col("key"))
-    found = found.repartition(deal).sortWithinPartitions("known", "key").mapInArrow(_repeated_anchors, anchor)
-    found = stage(found.select("key", "doc_id", "part", "loc"), "anchors")
+    found = stage_mapped(found.repartition(deal).sortWithinPartitions("known", "key"), _repeated_anchors, _ANCHOR, _ANCHOR_SQL, "anchors")
     per_doc = found.groupBy("doc_id", "part").agg(F.collect_list(F.struct("key", "loc")).alias("marks"))
     on = rows["doc_id"].eqNullSafe(per_doc["doc_id"]) & (rows["part"] == per_doc["part"])
     near = rows.join(per_doc, on).select(rows["doc_id"], rows["part"], "text", "marks").sortWithinPartitions("doc_id", "part")
-    cut = stage(near.mapInArrow(_cut_segments, _SEGMENT_SQL), "segments")
-    at_once = cut.filter("segment IS NULL").select("doc_id", "part", F.col("loc").alias("start"), F.col("repeats").alias("n"))
-    groups, copies = partition_by_prefix(cut.filter("segment IS NOT NULL"), limit)
-    marks = groups.repartition("key").sortWithinPartitions("key").mapInArrow(_subtrees(limit), "doc_id long, part int, start long, n long").unionByName(at_once)
+    cut = stage_mapped(near, _cut_segments, _SEGMENT, _SEGMENT_SQL, "segments")
+    at_once = cut.filter("repeats > 0").select("doc_id", "part", F.col("loc").alias("start"), F.col("repeats").alias("n"))
+    groups, copies = partition_by_prefix(cut.filter("repeats = 0"), limit)
+    marks = stage_mapped(groups.repartition("key").sortWithinPartitions("key"), _subtrees(limit), _MARK, _MARK_SQL, "repeats").unionByName(at_once)
     if copies is not None:  # copies of one window, and the earliest of them
         first = stage(copies.groupBy("segment").agg(F.min(F.struct("doc_id", "part", "loc")).alias("first")), "firsts")
         later = copies.join(first, "segment").filter(~F.struct("doc_id", "part", "loc").eqNullSafe(F.col("first")))
-        marks = marks.unionByName(later.select("doc_id", "part", F.shiftright("loc", 8).alias("start"), F.lit(1).cast("long").alias("n")))
-    return stage(marks, "repeats")
+        marks = marks.unionByName(stage(later.select("doc_id", "part", F.shiftright("loc", 8).alias("start"), F.lit(1).cast("long").alias("n")), "copies"))
+    return marks
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = GROUP_SEGMENTS, with_text: bool = True) -> DataFrame:

@@ -1,14 +1,16 @@
 """Operators that compare rows across the corpus, and the pipeline: against brute force."""
 
 import hashlib
+import os
 import re
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 
-from strandmill.llm import exact_dedup, jaccard_join, substring_dedup
-from strandmill.llm.common import shared_dir
+from strandmill.llm import common, exact_dedup, jaccard_join, substring_dedup
+from strandmill.llm.common import Scratch, shared_dir
 from tests.llm.fixture import SCHEMA, empty, frame, prose, rows
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -153,6 +155,53 @@ def test_groups_fit_before_any_task_takes_them(spark, monkeypatch):
     assert largest <= 8 < 100 < before and n_copies > 8 * n_windows
 
 
+def test_large_tables_are_staged_by_python_tasks(spark, monkeypatch):
+    """Files that the JVM writes cost processes whose start doubles its memory for whoever reads it; Hadoop leaves a .crc beside each."""
+    data, staged = repeat_data(), Scratch(spark)
+    df = spark.createDataFrame([(i, t, "", "", 0, "", "", "", "") for i, t in data], SCHEMA).repartition(5)
+    with staged:
+        got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.remove_repeats(df).collect()}
+    assert got == brute_repeats(data)
+    files = {name: [f for p in staged.paths if f"/{name}-" in p for _, _, fs in os.walk(p.removeprefix("file://")) for f in fs] for name in ("anchors", "segments", "repeats")}
+    assert all(files.values()) and not [f for fs in files.values() for f in fs if not re.fullmatch(r"part-\w+\.parquet", f)]
+    staged.drop()
+
+
+def test_stage_mapped_counts_reported_files_only(spark, monkeypatch):
+    schema, sql = pa.schema([("n", pa.int64()), ("b", pa.binary())]), "n long, b binary"
+    ids = spark.range(0, 5000, 1, 7).selectExpr("id AS n", "CAST(repeat(CAST(id AS STRING), 20) AS BINARY) AS b", "id AS more")
+
+    def twice(batches):
+        for batch in batches:
+            yield from (batch, batch.slice(0, 0), batch.filter(pa.compute.less(batch.column(0), 10)))
+
+    def repeated(uri, body, schema):  # each task leaves the file of an attempt that is not reported
+        write = common_write(uri, body, schema)
+
+        def run(batches):
+            batches = list(batches)
+            list(write(iter(batches)))
+            yield from write(iter(batches))
+
+        return run
+
+    class SparkOnly:
+        def from_uri(_):
+            raise pa.ArrowInvalid("unknown scheme")
+
+    common_write = common._write_parquet
+    monkeypatch.setattr(common, "_write_parquet", repeated)
+    monkeypatch.setattr(common, "BATCH_BYTES", 4000)  # several row groups a file
+    want = sorted([*range(5000), *range(10)])
+    for opens in (True, False):
+        if not opens:  # a store that only Spark opens
+            monkeypatch.setattr(common.pafs, "FileSystem", SparkOnly)
+        got = common.stage_mapped(ids, twice, schema, sql, "numbers")
+        assert got.columns == ["n", "b"] and sorted(r["n"] for r in got.collect()) == want
+        assert all(bytes(r["b"]) == str(r["n"]).encode() * 20 for r in got.take(50))
+        assert common.stage_mapped(ids.filter("n < 0"), twice, schema, sql, "none").count() == 0
+
+
 def test_known_prefixes_are_spread_before_the_shuffle():
     met = substring_dedup.Met(16)
     rng = np.random.default_rng(4)
